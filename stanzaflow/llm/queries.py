@@ -15,6 +15,30 @@ def _p2_found(spark: SparkSession, d: str) -> DataFrame:
     return song_components(table(spark, d, "pair_scores"))
 
 
+def _p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.encoding import garbled_fields
+
+    return garbled_fields(table(spark, d, "songs"), table(spark, d, "lang_samples"))
+
+
+def _p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.encoding import repaired_fields
+
+    return repaired_fields(table(spark, d, "songs"), table(spark, d, "lang_samples")).distinct()
+
+
+def _p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.lookalikes import disguised_fields
+
+    return disguised_fields(table(spark, d, "songs"), table(spark, d, "lang_samples"))
+
+
+def _p5_canonical(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.lookalikes import canonical_fields
+
+    return canonical_fields(table(spark, d, "songs"))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     from stanzaflow.llm.survivor import survivors
 
@@ -47,8 +71,12 @@ def _p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": _p2_found,
+    "p3_found": _p3_found,
+    "p3_restored": _p3_restored,
     "p4_found": _p4_found,
     "p4_golden": _p4_golden,
+    "p5_found": _p5_found,
+    "p5_canonical": _p5_canonical,
     "p7_found": _p7_found,
     "p7_collapsed": _p7_collapsed,
     "p9_found": _p9_found,
