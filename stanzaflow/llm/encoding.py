@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 #: Fixed values: (true encoding, wrong decoding, what happened to the text afterwards).
@@ -420,10 +422,10 @@ def repaired_fields(songs: DataFrame, lang_samples: DataFrame, fields: tuple[str
     ``restored`` is false where some stretch is lost; that stretch is kept as it is. ``encodings`` names the pairs.
     Null and empty fields are never garbled; a row delivered twice gives equal rows.
     """
-    model = songs.sparkSession.sparkContext.broadcast(fit(samples_of(lang_samples)))
+    model = songs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(samples_of(lang_samples))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = pickle.loads(model.value)
         for batch in batches:
             ids, names, texts, whole, codes = [], [], [], [], []
             keys = batch.column(0)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 #: Letters of other scripts that look like Latin ones.
@@ -131,12 +133,12 @@ def disguised_fields(songs: DataFrame, lang_samples: DataFrame, key: str = "song
     Characters that wrong decoding produced do not count: a changed text is labelled by the hidden Markov model of the
     encoding operator, its garbled stretches are blanked, and it counts if the canonical form still changes it.
     """
-    from stanzaflow.llm.encoding import clean_mask, fit, repair, samples_of, spans
+    from stanzaflow.llm.encoding import Model, clean_mask, fit, repair, samples_of, spans
 
-    model = songs.sparkSession.sparkContext.broadcast(fit(samples_of(lang_samples)))
+    shared = songs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(samples_of(lang_samples))))
 
-    def blanked(text: str, path: np.ndarray) -> str:
-        used = set(repair(model.value, text, path)[2])
+    def blanked(model: Model, text: str, path: np.ndarray) -> str:
+        used = set(repair(model, text, path)[2])
         chars = list(text)
         for a, b, s in spans(path):
             if s in used:
@@ -144,7 +146,7 @@ def disguised_fields(songs: DataFrame, lang_samples: DataFrame, key: str = "song
         return "".join(chars)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        canonical = Canonical()
+        canonical, model = Canonical(), pickle.loads(shared.value)
         for batch in batches:
             keys, ids, names = batch.column(0).to_pylist(), [], []
             for f, name in enumerate(fields):
@@ -153,10 +155,10 @@ def disguised_fields(songs: DataFrame, lang_samples: DataFrame, key: str = "song
                 if not changed:
                     continue
                 values = [texts[i].as_py() for i in changed]
-                paths = clean_mask(model.value, values)
-                again = [k for k in paths if repair(model.value, values[k], paths[k])[2]]
+                paths = clean_mask(model, values)
+                again = [k for k in paths if repair(model, values[k], paths[k])[2]]
                 if again:
-                    masked = [blanked(values[k], paths[k]) for k in again]
+                    masked = [blanked(model, values[k], paths[k]) for k in again]
                     same = {k for k, m, c in zip(again, masked, canonical(pa.array(masked, pa.string())).to_pylist(), strict=True) if m == c}
                     changed = [i for k, i in enumerate(changed) if k not in same]
                 ids += [keys[i] for i in changed]

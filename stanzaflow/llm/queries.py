@@ -69,6 +69,24 @@ def _p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
 
 
+def _p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.languages import label_cases
+
+    return label_cases(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
+def _p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.languages import document_languages
+
+    return document_languages(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
+def _p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.languages import document_segments
+
+    return document_segments(table(spark, d, "documents"), table(spark, d, "lang_samples"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": _p2_found,
     "p3_found": _p3_found,
@@ -80,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": _p7_found,
     "p7_collapsed": _p7_collapsed,
     "p9_found": _p9_found,
+    "p10_found": _p10_found,
+    "p10_documents": _p10_documents,
+    "p10_segments": _p10_segments,
 }
 
 ORACLE: dict[str, str] = {
