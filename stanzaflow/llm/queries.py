@@ -63,6 +63,18 @@ def _p7_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapsed_songs(table(spark, d, "songs"))
 
 
+def _p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.packing import packed
+
+    return packed(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
+def _p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    from stanzaflow.llm.packing import fill
+
+    return fill(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
 def _p9_found(spark: SparkSession, d: str) -> DataFrame:
     from stanzaflow.llm.leaks import leaked_items
 
@@ -97,6 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_canonical": _p5_canonical,
     "p7_found": _p7_found,
     "p7_collapsed": _p7_collapsed,
+    "p8_packed": _p8_packed,
+    "p8_fill": _p8_fill,
     "p9_found": _p9_found,
     "p10_found": _p10_found,
     "p10_documents": _p10_documents,
