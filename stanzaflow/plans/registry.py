@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stanzaflow.plans import general
+from stanzaflow.plans import general, texts
 
-MODULES = [general]
+MODULES = [general, texts]
 
 
 def queries() -> dict:
