@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_ROWS = 65_536
+CHUNK_ROWS = 8_192
 FAN_IN = 16
 
 #: How two partial states become one.
