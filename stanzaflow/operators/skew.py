@@ -57,6 +57,9 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     return out
 
 
-def words_of(text: Column) -> Column:
-    """Words of a text with single spaces; an empty text has none."""
-    return F.when(F.length(text) > 0, F.split(text, " ")).otherwise(F.array().cast("array<string>"))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later expressions use several times, evaluated once per row.
+
+    A generator keeps the optimizer from copying the expression into each of its uses.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
