@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.operators.bitmap import bitmap_filter
-from stanzaflow.operators.skew import materialize, skew_join
+from stanzaflow.operators.skew import materialize, once, skew_join
 
 #: Letters whose counts make up the histogram: frequent ones of the scripts that occur.
 HISTOGRAM = ["e", "a", "t", "o", "i", "s", "l", "о", "а", "и", "י", "ה"]
@@ -38,9 +38,9 @@ def with_cheap_class(songs: DataFrame) -> DataFrame:
 
     They do not depend on the order of sections. Null for lyrics without letters.
     """
-    text = songs.withColumn("_bare", bare(F.col("plain_lyrics"))).withColumn("_title", bare(F.col("title")))
+    text = once(songs.withColumn("_title", bare(F.col("title"))), "_bare", bare(F.col("plain_lyrics")))
     counts = [F.length("_bare") - F.length(F.replace(F.col("_bare"), F.lit(c), F.lit(""))) for c in HISTOGRAM]
-    return text.withColumn("class", F.when(F.length("_bare") > 0, F.xxhash64(F.length("_title"), F.length("_bare"), *counts))).drop("_bare", "_title")
+    return once(text, "class", F.when(F.length("_bare") > 0, F.xxhash64(F.length("_title"), F.length("_bare"), *counts))).drop("_bare", "_title")
 
 
 def copy_keys(songs: DataFrame) -> DataFrame:
