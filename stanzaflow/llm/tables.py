@@ -10,10 +10,10 @@ CHORD = r"[A-G](?:#|b)?(?:mmaj|maj|min|dim|aug|sus|add|m)?\d*(?:(?:sus|add|maj)\
 HEADINGS = "verse|chorus|bridge|refrain|tag|ending|outro|intro|interlude|instrumental|pre[- ]?chorus|repeat|coda|vamp|v|c|b|p|t"
 
 _INLINE = rf"\[\s*{CHORD}\s*\]"
-_DIRECTIVE = r"(?m)^[ \t]*\{[^{}\n]*\}[ \t]*$"
-_CHORD_LINE = rf"(?m)^[ \t|/.\-]*+(?:\[?{CHORD}\]?(?=[ \t|/.\-\]]|$)[ \t|/.\-]*+)++$"
-_HEADING = rf"(?mi)^[ \t]*(?:\[[ \t]*(?:{HEADINGS})[ \t]*\d*[ \t]*\]|(?:{HEADINGS})[ \t]*\d*[ \t]*:|(?:verse|chorus|bridge|refrain|tag|ending|outro|intro|v|c)[ \t]*\d*)[ \t]*$"
-_REPEAT = r"(?i)\(?\b(?:x ?\d+|\d+ ?x)\b\)?|\|:|:\||\((?:repeat|bis)[^()\n]*\)"
+_DIRECTIVE = r"(?m)^[ \t]*\{[^{}\n]*\}[ \t]*$\n?"
+_CHORD_LINE = rf"(?m)^[ \t|/.\-]*+(?:\[?{CHORD}\]?(?=[ \t|/.\-\]]|$)[ \t|/.\-]*+)++$\n?"
+_HEADING = rf"(?mi)^[ \t]*(?:\[[ \t]*(?:{HEADINGS})[ \t]*\d*[ \t]*\]|(?:{HEADINGS})[ \t]*\d*[ \t]*:|(?:verse|chorus|bridge|refrain|tag|ending|outro|intro|v|c)[ \t]*\d*)[ \t]*$\n?"
+_REPEAT = r"(?mi)\([ \t]*(?:[x×] ?\d+|\d+ ?[x×]|bis|repeat[^()\n]*)[ \t]*\)|\|:|:\||[ \t](?:[x×] ?\d+|\d+ ?[x×])[ \t]*$"
 
 
 def sung_text(text: Column) -> Column:
@@ -21,7 +21,7 @@ def sung_text(text: Column) -> Column:
 
     Null is empty. Blank lines stay, so sections can still be told apart.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
+    t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(t, _DIRECTIVE, "")
     t = F.regexp_replace(t, _CHORD_LINE, "")
     t = F.regexp_replace(t, _HEADING, "")
@@ -32,9 +32,10 @@ def sung_text(text: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Lower-case words of sung text: apostrophes join, all other characters but letters, marks and digits separate."""
     t = F.lower(sung_text(text))
-    t = F.regexp_replace(t, r"['’‘`´]+|(?<=\d),(?=\d)", "")
-    t = F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", " "))
-    return F.when(t != "", F.split(t, " ")).otherwise(F.array().cast("array<string>"))
+    for mark in "'’‘`´":
+        t = F.replace(t, F.lit(mark), F.lit(""))
+    t = F.regexp_replace(t, r",(?=\d)(?<=\d,)", "")
+    return F.array_remove(F.split(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", " "), " "), "")
 
 
 def word_hashes(text: Column) -> Column:
