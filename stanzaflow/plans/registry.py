@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stanzaflow.plans import general, texts
+from stanzaflow.plans import general, pairs, texts
 
-MODULES = [general, texts]
+MODULES = [general, texts, pairs]
 
 
 def queries() -> dict:
