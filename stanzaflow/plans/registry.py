@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stanzaflow.plans import general, pairs, texts
+from stanzaflow.plans import catalogue, general, pairs, texts
 
-MODULES = [general, texts, pairs]
+MODULES = [general, texts, pairs, catalogue]
 
 
 def queries() -> dict:
