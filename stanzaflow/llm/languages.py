@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.llm.tables import sung_text
+from stanzaflow.operators.skew import once
 
 #: Labelled lines to fit on: at most so many per language.
 SAMPLES_PER_LANGUAGE = 2_000
@@ -140,20 +141,23 @@ def section_words(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{M}']+", " "))
 
 
-def sections(text: Column, title: Column) -> Column:
-    """The sung sections of a document as words; sections are separated by blank lines, in prose by line ends.
+def with_sections(documents: DataFrame) -> DataFrame:
+    """Adds ``sections``, the sung sections of a document as words; sections are separated by blank lines, in prose by line ends.
 
     The title is left out: a first section equal to ``title``, or where that is missing one of a single line of at most
     ten words before others. Headings, chords and directives are gone; a section without words is dropped.
     """
-    body = F.regexp_replace(sung_text(text), r"^\s+", "")
-    raw = F.when(body.rlike(r"\S[ \t]*\n[ \t]*\n\s*\S"), F.split(body, r"\n[ \t]*\n\s*")).otherwise(F.split(body, "\n"))
-    parts = F.filter(F.transform(raw, lambda x: F.struct(section_words(x).alias("w"), F.contains(F.trim(x), F.lit("\n")).alias("long"))), lambda x: x["w"] != "")
-    named = section_words(F.coalesce(title, F.lit("")))
-    first = F.try_element_at(parts, F.lit(1))
-    guess = (named == "") & ~first["long"] & (F.size(parts) > 1) & (F.size(F.split(first["w"], " ")) <= 10)
-    rest = F.when((F.size(parts) > 0) & ((first["w"] == named) | guess), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    return F.transform(rest, lambda x: x["w"])
+    body = once(documents, "_body", F.regexp_replace(sung_text(F.col("text")), r"^\s+", ""))
+    blank = F.col("_body").rlike(r"\S[ \t]*\n[ \t]*\n\s*\S")
+    raw = F.split(F.col("_body"), F.when(blank, F.lit(r"\n[ \t]*\n\s*")).otherwise(F.lit("\n")))
+    worded = F.transform(raw, lambda x: F.struct(section_words(x).alias("w"), F.contains(F.trim(x), F.lit("\n")).alias("long")))
+    parts = once(once(body, "_parts", F.filter(worded, lambda x: x["w"] != "")), "_named", section_words(F.coalesce("title", F.lit(""))))
+    first, several, named = F.try_element_at("_parts", F.lit(1)), F.size("_parts") > 1, F.col("_named")
+    guess = (named == "") & ~first["long"] & several & (F.size(F.split(first["w"], " ")) <= 10)
+    titled = once(parts, "_titled", F.coalesce((F.size("_parts") > 0) & ((first["w"] == named) | guess), F.lit(False)))
+    words = F.transform("_parts", lambda x: x["w"])
+    rest = F.when(F.col("_titled"), F.slice(words, F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))).otherwise(words)
+    return titled.withColumn("sections", rest).drop("_body", "_parts", "_named", "_titled")
 
 
 def normal_label(label: Column) -> Column:
@@ -235,7 +239,7 @@ def labelled(documents: DataFrame, lang_samples: DataFrame, vocabulary_path: str
                     sure[d] = float(_posterior(own[lang == main].sum(axis=0, keepdims=True))[0, main]) if (lang == main).any() else 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(segments, kind)], names=["doc_id", "label", "lang", "confidence", "segments"])
 
-    return documents.select("doc_id", sections(F.col("text"), F.col("title")).alias("sections"), normal_label(F.col("lang")).alias("label")).mapInArrow(scan, RESULT)
+    return with_sections(documents.select("doc_id", "text", "title", "lang")).select("doc_id", "sections", normal_label(F.col("lang")).alias("label")).mapInArrow(scan, RESULT)
 
 
 def document_languages(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
