@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stanzaflow.operators.skew import materialize, skew_join
+from stanzaflow.operators.skew import HOT_ROWS, materialize, skew_join
 
 
 def linked_labels(edges: DataFrame) -> DataFrame:
@@ -21,12 +21,13 @@ def linked_labels(edges: DataFrame) -> DataFrame:
         if state == before:
             return now.select("v", F.col("u").alias("label")).unionByName(now.select(F.col("u").alias("v"), F.col("u").alias("label"))).groupBy("v").agg(F.min("label").alias("label"))
         before = state
+        hot = [] if 2 * state[0] < HOT_ROWS else None  # no vertex of so few edges can be hot
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = skew_join(both.where("u > v"), least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = skew_join(both.where("u > v"), least, "v", hot=hot).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         large = materialize(large)
         least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = skew_join(large, least, "v")
+        small = skew_join(large, least, "v", hot=hot)
         now = materialize(small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).distinct())
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stanzaflow.plans import catalogue, general, pairs, texts
+from stanzaflow.plans import catalogue, general, pairs, reviewing, sheets, texts
 
-MODULES = [general, texts, pairs, catalogue]
+MODULES = [general, texts, pairs, catalogue, sheets, reviewing]
 
 
 def queries() -> dict:
