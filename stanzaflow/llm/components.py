@@ -23,16 +23,16 @@ def counting_links(pairs: DataFrame, hint: str = "strong", least: float = STRONG
     return rows.groupBy("a", "b").agg(F.max("s").alias("s")).where((F.col("s.decision_hint") == hint) & (F.col("s.final_score") >= least)).select("a", "b")
 
 
-def contract(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+def contract(edges: DataFrame, seed: int, several: int) -> tuple[DataFrame, DataFrame]:
     """One round: every vertex hooks to the first of itself and its neighbours in a fresh hash order.
 
-    Returns the map (v, rep) and the relabelled, deduplicated edges between different representatives.
+    ``several`` is the number of edges; few edges have no hub. Returns the map (v, rep) and the relabelled, deduplicated edges between different representatives.
     """
     order = lambda c: F.xxhash64(F.col(c), F.lit(seed))
     sides = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(edges.select(F.col("b").alias("v"), F.col("a").alias("u")))
     near = sides.groupBy("v").agg(F.min_by("u", order("u")).alias("u"), F.min(order("u")).alias("h"), F.count(F.lit(1)).alias("degree"))
     hooks = materialize(near.select("v", F.when(F.col("h") < order("v"), F.col("u")).otherwise(F.col("v")).alias("rep"), "degree"))
-    hubs = [r["v"] for r in hooks.where(F.col("degree") >= HOT_ROWS).orderBy(F.desc("degree")).limit(HOT_KEYS).collect()]
+    hubs = [] if 2 * several < HOT_ROWS else [r["v"] for r in hooks.where(F.col("degree") >= HOT_ROWS).orderBy(F.desc("degree")).limit(HOT_KEYS).collect()]
     hooks = hooks.select("v", "rep")
     left = skew_join(edges, hooks.select(F.col("v").alias("a"), F.col("rep").alias("ra")), "a", hot=hubs)
     both = skew_join(left.select("ra", "b"), hooks.select(F.col("v").alias("b"), F.col("rep").alias("rb")), "b", hot=hubs)
@@ -51,8 +51,8 @@ def components(links: DataFrame, seed: int = 17) -> DataFrame:
         links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     maps: list[DataFrame] = []
-    while not edges.isEmpty():
-        hooks, edges = contract(edges, seed + len(maps))
+    while several := edges.count():
+        hooks, edges = contract(edges, seed + len(maps), several)
         maps.append(hooks)
     if not maps:
         return links.select(F.col("a").alias("v"), F.col("a").alias("component")).limit(0)
