@@ -81,7 +81,7 @@ def canonical_sql(column: str, table: str) -> str:
     word = f"""CASE
         WHEN NOT regexp_matches(w, '\\p{{L}}') THEN w
         WHEN regexp_matches(w, '{_OTHER}') THEN CASE
-            WHEN NOT regexp_matches(w, '{_OTHER_OWN}') AND (regexp_matches(w, '\\p{{Latin}}') AND NOT (cyr AND NOT regexp_matches(w, '{_LATIN_OWN}')) OR latin AND NOT other) THEN {_translate('w', TO_LATIN)}
+            WHEN NOT regexp_matches(w, '{_OTHER_OWN}') AND (regexp_matches(w, '\\p{{Latin}}') AND NOT (cyr AND NOT regexp_matches(w, '{_LATIN_OWN}')) OR NOT other) THEN {_translate('w', TO_LATIN)}
             WHEN regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, '\\p{{Cyrillic}}') AND NOT regexp_matches(w, '{_LATIN_OWN}') THEN {_translate('w', TO_CYRILLIC)}
             WHEN regexp_matches(w, '\\p{{Latin}}') THEN {_translate('w', TO_LATIN)}
             ELSE w END
