@@ -36,6 +36,7 @@ def groups(songs: DataFrame, edges: DataFrame) -> DataFrame:
     labels = linked_labels(edges).select(F.col("v").alias("song_index"), "label")
     ids = songs.where("song_index is not null").select("song_index").distinct()
     own = skew_join(ids, labels, "song_index", "left", hot=[]).select("song_index", F.coalesce("label", "song_index").alias("root"))
+    own = materialize(own)
     least = own.groupBy("root").agg(F.min("song_index").alias("group_min"))
     return skew_join(own, least, "root").select("song_index", "group_min")
 
@@ -60,5 +61,6 @@ def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
 
 def group_ids(members: DataFrame) -> DataFrame:
     """(song_index, group_id): groups numbered by their smallest member, as G and five digits."""
+    members = materialize(members)
     numbered = global_rank(members.select("group_min").distinct(), "group_min", "n").select("group_min", F.format_string("G%05d", "n").alias("group_id"))
     return skew_join(members, numbered, "group_min").select("song_index", "group_id", "group_min")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stanzaflow.plans import catalogue, general, pairs, reviewing, sheets, texts
+from stanzaflow.plans import catalogue, general, pairs, reviewing, sheets, smaller, texts
 
-MODULES = [general, texts, pairs, catalogue, sheets, reviewing]
+MODULES = [general, texts, pairs, catalogue, sheets, reviewing, smaller]
 
 
 def queries() -> dict:
