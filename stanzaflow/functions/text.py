@@ -298,7 +298,7 @@ def float_value(c: Column, default: float = 0.0) -> Column:
 def duration(seconds: Column, finest: bool = True) -> Column:
     """Seconds in words, such as 1h 2m 3s; with ``finest`` false hours come without seconds, and no number is a dash."""
     n = seconds.try_cast("double")
-    s = F.greatest(n, F.lit(0.0)).cast("bigint") if finest else n.cast("bigint")
+    s = F.when(n.isNotNull(), F.greatest(n, F.lit(0.0))).cast("bigint") if finest else n.cast("bigint")
     h, m, r = F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600)) / 60), F.pmod(s, F.lit(60))
     long = F.format_string("%dh %dm %ds", h, m, r) if finest else F.format_string("%dh %dm", h, m)
     return F.when(s.isNull(), "-").when(h > 0, long).when(m > 0, F.format_string("%dm %ds", m, r)).otherwise(F.format_string("%ds", r))

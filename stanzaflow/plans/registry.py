@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stanzaflow.plans import catalogue, general, pairs, reviewing, sheets, smaller, texts
+from stanzaflow.plans import catalogue, general, pairs, reviewing, sheets, smaller, texts, windows
 
-MODULES = [general, texts, pairs, catalogue, sheets, reviewing, smaller]
+MODULES = [general, texts, pairs, catalogue, sheets, reviewing, smaller, windows]
 
 
 def queries() -> dict:
