@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,11 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trim(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
@@ -57,13 +64,13 @@ def tokens(c: Column) -> Column:
 
 def _folded(c: Column) -> Column:
     t = F.replace(F.lower(text(c)), F.lit("&"), F.lit(" and "))
-    return F.regexp_replace(t, r"(?<=\p{Nd}),(?=\p{Nd})", "")
+    return F.regexp_replace(t, r",(?=\p{Nd})(?<=\p{Nd},)", "")
 
 
 def normalize_title(c: Column) -> Column:
     """Lower-case letters and digits of a title, with leading zeros dropped."""
-    t = F.regexp_replace(_folded(c), f"[^a-z0-9{WS}]+", " ")
-    return norm_space(F.regexp_replace(t, r"\b0+(\d+)\b", "$1"))
+    t = F.regexp_replace(_folded(c), "[^a-z0-9]+", " ")
+    return F.trim(F.regexp_replace(t, r"\b0+(\d+)\b", "$1"))
 
 
 def compact_title(c: Column) -> Column:
@@ -73,16 +80,16 @@ def compact_title(c: Column) -> Column:
 
 def normalize_lyric_text(c: Column) -> Column:
     """Lower-case letters and digits of lyrics; syllable hyphens join, filler words go."""
-    t = F.regexp_replace(_folded(c), rf"(?U)\b10{SPACE}+000\b", "10000")
+    word = r"[\p{L}\p{N}_]"
+    t = F.regexp_replace(_folded(c), rf"10(?<!{word}10){SPACE}+000(?!{word})", "10000")
     t = F.regexp_replace(t, rf"([a-z]){SPACE}*-{SPACE}*([a-z])", "$1$2")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?U)\boh\b", "o"), r"(?U)\byeah\b", " ")
-    return norm_space(F.regexp_replace(t, f"[^a-z0-9{WS}]+", " "))
+    t = F.regexp_replace(F.regexp_replace(t, rf"oh(?<!{word}oh)(?!{word})", "o"), rf"yeah(?<!{word}yeah)(?!{word})", " ")
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
 
 
 def is_chord(c: Column) -> Column:
     """Whether a token is a chord name."""
-    t = trim(text(c))
-    return (t != "") & ~F.contains(t, F.lit(" ")) & t.rlike(f"(?i)^(?:{CHORD})$")
+    return bind(trim(text(c)), lambda t: (t != "") & ~F.contains(t, F.lit(" ")) & t.rlike(f"(?i)^(?:{CHORD})$"))
 
 
 def strip_chords(c: Column) -> Column:
@@ -102,10 +109,11 @@ def normalize_lyric_line(c: Column) -> Column:
 
 def is_chord_line(c: Column) -> Column:
     """Whether a line is blank or holds nothing but chords and bar signs."""
-    t = trim(text(c))
-    bare = F.regexp_replace(F.regexp_replace(t, r"\[[^\[\]\n]{1,32}\]", " "), rf"(?:[.\-_/|,:;()]|{SPACE})+", "")
-    parts = F.filter(F.transform(F.split(F.replace(t, F.lit("."), F.lit(" ")), f"{SPACE}+"), lambda x: F.regexp_replace(x, r"^[\[\](){}.,;:|]+|[\[\](){}.,;:|]+$", "")), lambda x: x != "")
-    return (t == "") | ((bare == "") & t.rlike(r"\[[^\[\]\n]{1,32}\]")) | ((F.size(parts) > 0) & F.forall(parts, is_chord))
+    token = lambda x: F.regexp_replace(x, r"^[\[\](){}.,;:|]+|[\[\](){}.,;:|]+$", "")
+    parts = lambda t: F.filter(F.transform(F.split(F.replace(t, F.lit("."), F.lit(" ")), f"{SPACE}+"), token), lambda x: x != "")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"\[[^\[\]\n]{1,32}\]", " "), rf"(?:[.\-_/|,:;()]|{SPACE})+", "")
+    only = lambda t: bind(parts(t), lambda p: (F.size(p) > 0) & F.forall(p, is_chord))
+    return bind(trim(text(c)), lambda t: (t == "") | (t.rlike(r"\[[^\[\]\n]{1,32}\]") & (bare(t) == "")) | only(t))
 
 
 def _is_section(label: Column) -> Column:
@@ -116,20 +124,19 @@ def _is_section(label: Column) -> Column:
 def bracket_label(c: Column) -> Column:
     """The label of a line like ``[Verse 1]``; null for any other line, and for a chord."""
     inner = F.regexp_extract(trim(text(c)), r"^\[([^\[\]]{1,40})\]$", 1)
-    label = F.lower(norm_space(inner))
-    return F.when((inner != "") & ~is_chord(label) & _is_section(label), trim(inner))
+    known = lambda i: bind(F.lower(norm_space(i)), lambda label: ~is_chord(label) & _is_section(label))
+    return bind(inner, lambda i: F.when((i != "") & known(i), trim(i)))
 
 
 def colon_label(c: Column) -> Column:
     """The label of a line like ``Verse 1:``; null for any other line."""
     label = norm_space(F.regexp_extract(trim(text(c)), rf"^([A-Za-z][A-Za-z ]*(?:{SPACE}+\p{{Nd}}+)?){SPACE}*:$", 1))
-    return F.when((label != "") & _is_section(F.lower(label)), label)
+    return bind(label, lambda x: F.when((x != "") & _is_section(F.lower(x)), x))
 
 
 def is_meaningful(c: Column) -> Column:
     """Whether a normalised line says enough to tell songs apart."""
-    t = norm_space(c)
-    return (F.length(t) >= 5) & ~t.isin(WEAK_LINES) & (F.contains(t, F.lit(" ")) | (F.length(t) >= 8))
+    return bind(norm_space(c), lambda t: (F.length(t) >= 5) & ~t.isin(WEAK_LINES) & (F.contains(t, F.lit(" ")) | (F.length(t) >= 8)))
 
 
 def meaningful_lines(c: Column) -> Column:
@@ -144,9 +151,8 @@ def title_tokens(c: Column) -> Column:
 
 def shingles(normalized: Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` tokens of a normalised text, in order; none for a shorter text."""
-    t = tokens(text(normalized))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, size), " "))
-    return F.when(F.size(t) >= size, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, size), " "))
+    return bind(tokens(text(normalized)), lambda t: F.when(F.size(t) >= size, F.array_distinct(runs(t))).otherwise(F.array().cast("array<string>")))
 
 
 def file_stem(path: Column) -> Column:
@@ -180,11 +186,15 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
 def bare_metadata(c: Column) -> Column:
     """struct(kind, field, value) of a line like ``Key: G`` whose name is known; null for any other line."""
     pattern = rf"^{SPACE}*([A-Za-z][A-Za-z0-9 ()/_-]{{0,40}}){SPACE}*:{SPACE}*(.*?){SPACE}*$"
-    name, value = F.lower(norm_space(F.regexp_extract(text(c), pattern, 1))), norm_space(F.regexp_extract(text(c), pattern, 2))
-    direct, source = _lookup(DIRECT_FIELDS, name), _lookup(SOURCE_FIELDS, name)
-    return F.when(direct.isNotNull(), F.struct(F.lit("direct").alias("kind"), direct.alias("field"), F.when(direct == "key", clean_key(value)).otherwise(value).alias("value"))).when(
-        source.isNotNull(), F.struct(F.lit("source").alias("kind"), source.alias("field"), value.alias("value"))
-    )
+    extract = lambda t, n: norm_space(F.regexp_extract(t, pattern, n))
+    fields = lambda name: F.struct(_lookup(DIRECT_FIELDS, name).alias("d"), _lookup(SOURCE_FIELDS, name).alias("s"))
+
+    def meant(t: Column, f: Column) -> Column:
+        value = F.when(f["d"] == "key", clean_key(extract(t, 2))).otherwise(extract(t, 2))
+        kind = F.when(f["d"].isNotNull(), "direct").otherwise("source")
+        return F.when(f["d"].isNotNull() | f["s"].isNotNull(), F.struct(kind.alias("kind"), F.coalesce(f["d"], f["s"]).alias("field"), value.alias("value")))
+
+    return bind(text(c), lambda t: bind(fields(F.lower(extract(t, 1))), lambda f: meant(t, f)))
 
 
 def _or_untitled(c: Column) -> Column:
