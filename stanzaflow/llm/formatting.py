@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.operators.bitmap import bitmap_filter
-from stanzaflow.operators.skew import materialize, once, skew_join
+from stanzaflow.operators.skew import HOT_KEYS, HOT_ROWS, materialize, once, skew_join
 
 #: Letters whose counts make up the histogram: frequent ones of the scripts that occur.
 HISTOGRAM = ["e", "a", "t", "o", "i", "s", "l", "о", "а", "и", "י", "ה"]
@@ -47,17 +47,19 @@ def copy_keys(songs: DataFrame) -> DataFrame:
     """(song_index, copy_key) of the songs that share their cheap class with another song.
 
     First every song gets its cheap class, and only (class, smallest and largest index) are shuffled. Songs whose class
-    has one member are dropped by a bitmap and an exact semi-join; the costlier key, a SHA-256 over title words and
+    has one member are dropped by a bitmap and an exact join that spreads hot classes; the costlier key, a SHA-256 over title words and
     sorted sections, is made for the rest alone.
     """
     rows = songs.select("song_index", "title", "plain_lyrics").where("song_index is not null")
     rows = with_cheap_class(rows)
-    several = rows.groupBy("class").agg(F.min("song_index").alias("lo"), F.max("song_index").alias("hi")).where("class is not null and lo < hi").select("class")
-    several = materialize(several)
+    counted = rows.groupBy("class").agg(F.min("song_index").alias("lo"), F.max("song_index").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = materialize(counted.where("class is not null and lo < hi").select("class", "n"))
+    hot = [r["class"] for r in several.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+    several = several.select("class")
     likely = bitmap_filter(rows, "class", several)
     text = F.concat_ws("\u0001", title_words(F.col("title")), F.concat_ws("\u0002", section_keys(F.col("plain_lyrics"))))
     keyed = likely.select("song_index", "class", F.sha2(F.encode(text, "utf-8"), 256).alias("copy_key"))
-    return materialize(keyed.join(several, "class", "left_semi").select("song_index", "copy_key").distinct())
+    return materialize(skew_join(keyed, several, "class", hot=hot).select("song_index", "copy_key").distinct())
 
 
 def collapse(songs: DataFrame) -> tuple[DataFrame, DataFrame]:

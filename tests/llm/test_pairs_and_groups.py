@@ -101,3 +101,10 @@ def test_formatted_copies(spark, small):
     assert formatting.formatted_copies(df.limit(0)).count() == 0
     songs = spark.read.parquet(f"{small}/songs.parquet").select("song_index", "title", "plain_lyrics")
     assert set(map(tuple, formatting.formatted_copies(songs).collect())) == brute_copies(set(map(tuple, songs.collect())))
+
+
+def test_hot_class_is_spread(spark, small, monkeypatch):
+    monkeypatch.setattr(formatting, "HOT_ROWS", 5)
+    rows = [(i, "Same Title", f"One line\n\nTwo {'!' * (i % 3)}") for i in range(300)] + [(1000 + i, f"t{i}", "x y") for i in range(20)] + [(2000, "T0", "X, Y")]
+    df = spark.createDataFrame(rows, "song_index bigint, title string, plain_lyrics string")
+    assert set(map(tuple, formatting.formatted_copies(df).collect())) == brute_copies(rows)
