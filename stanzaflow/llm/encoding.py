@@ -39,7 +39,6 @@ PAIRS = [
     ("cp1250", "cp1252", ""),
     ("iso8859-2", "cp1252", ""),
     ("cp852", "cp1250", ""),
-    ("cp852", "cp1252", ""),
     ("cp437", "cp1252", ""),
     ("cp850", "cp1252", ""),
     ("cp437", "latin-1", ""),
@@ -170,7 +169,7 @@ def variants(line: str) -> list[str]:
     """A labelled line and the forms that text has besides: curly quotes, dashes, upper case, an accented name."""
     curly = line.replace("'", "’")
     first = line.split("\n")[0]
-    return [line, curly, f"“{first}”", line.upper(), line.lower(), line.title(), first.replace(" ", "’s "), f"{first} – Café", f"({first}…-Fête) — mañana ¡{first} «{first}»"]
+    return [line, curly, f"“{first}”", line.upper(), line.lower(), line.title(), first.replace(" ", "’s "), first.replace(" ", "’s ").upper(), f"{first} – Café", f"({first}…-Fête) — mañana ¡{first} «{first}»"]
 
 
 #: Letters of other scripts that stand in for Latin ones.
