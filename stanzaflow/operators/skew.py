@@ -60,6 +60,6 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later expressions use several times, evaluated once per row.
 
-    A generator keeps the optimizer from copying the expression into each of its uses.
+    A generator keeps the optimizer from copying the expression into each of its uses. A column of that name is replaced.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))

@@ -55,6 +55,8 @@ def test_bitmap_filter_loses_nothing(spark):
 
 def test_once_adds_the_value(spark):
     assert [r.y for r in skew.once(spark.range(3), "y", F.col("id") + 1).collect()] == [1, 2, 3]
+    again = skew.once(spark.range(3).withColumn("y", F.lit(5)), "y", F.col("y") + F.col("id"))
+    assert again.columns == ["id", "y"] and [r.y for r in again.collect()] == [5, 6, 7]
 
 
 def test_groups_and_ids(spark):
