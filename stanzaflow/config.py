@@ -19,5 +19,5 @@ class RunConfig:
 
     @property
     def caps(self) -> dict[str, int]:
-        """Largest bucket of each index."""
+        """Size of a block of each index: larger buckets are split into blocks, none is dropped."""
         return {"title": self.title_cap, "compact": self.title_cap, "token": self.title_cap, "line": self.line_cap, "shingle": self.line_cap}

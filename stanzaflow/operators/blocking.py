@@ -1,31 +1,36 @@
-"""Candidate pairs by shared keys: five inverted indexes with capped buckets."""
+"""Candidate pairs by shared keys: five inverted indexes, whole or with the caps of the reference."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.functions.text import WEAK_LINES
 from stanzaflow.operators.bitmap import bitmap_filter
-from stanzaflow.operators.skew import materialize
+from stanzaflow.operators.skew import HOT_KEYS, HOT_ROWS, materialize, once, skew_join
 
-#: Largest bucket that still gives pairs, by index.
+#: By index: the largest bucket that ``candidate_pairs`` still takes, as in the reference, and the block of ``covered_pairs``.
 CAPS = {"title": 500, "compact": 500, "token": 500, "line": 250, "shingle": 250}
 SHORTEST_LINE = 10
 
 
+def _keys(once_each: bool = False) -> Column:
+    """The keys (kind, key) of a song in the five indexes, empty and null ones among them; in order and once if wished."""
+    none = F.array().cast("array<string>")
+    values_of = lambda values: F.array_sort(F.array_distinct(F.coalesce(values, none))) if once_each else F.coalesce(values, none)
+    keyed = lambda kind, values: F.transform(values_of(values), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+    long = F.filter(F.coalesce(F.col("lyric_lines"), none), lambda x: (F.length(x) >= SHORTEST_LINE) & ~x.isin(WEAK_LINES))
+    return F.concat(
+        keyed("title", F.array("normalized_title")), keyed("compact", F.array("compact_title")), keyed("token", F.col("title_tokens")), keyed("line", long), keyed("shingle", F.col("lyric_shingles"))
+    )
+
+
 def blocking_keys(songs: DataFrame) -> DataFrame:
     """(kind, key, id) of the five indexes; a title token that a title repeats gives a row each time.
 
     Empty and null titles and lines give no key, nor do lines that are short or say too little.
     """
-    none = F.array().cast("array<string>")
-    keyed = lambda kind, values: F.transform(F.coalesce(values, none), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
-    long = F.filter(F.coalesce(F.col("lyric_lines"), none), lambda x: (F.length(x) >= SHORTEST_LINE) & ~x.isin(WEAK_LINES))
-    every = F.concat(
-        keyed("title", F.array("normalized_title")), keyed("compact", F.array("compact_title")), keyed("token", F.col("title_tokens")), keyed("line", long), keyed("shingle", F.col("lyric_shingles"))
-    )
-    rows = songs.select(F.col("song_index").alias("id"), F.explode(every).alias("k")).select("k.kind", "k.key", "id")
+    rows = songs.select(F.col("song_index").alias("id"), F.explode(_keys()).alias("k")).select("k.kind", "k.key", "id")
     return rows.where("id is not null and key <> ''")
 
 
@@ -37,8 +42,9 @@ def bucket_sizes(keys: DataFrame, caps: dict[str, int] | None = None) -> DataFra
 
 
 def candidate_pairs(songs: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of songs that share a bucket of 2 to cap rows in any index.
+    """Distinct pairs (a, b), a < b, of songs that share a bucket of 2 to cap rows in any index: the rule of the reference.
 
+    Pairs that only share a larger bucket are lost; ``covered_pairs`` has them all.
     Rows of buckets over the cap, however hot, are dropped by a bitmap before anything is shuffled by key, so no task
     holds more of a bucket than its cap.
     """
@@ -54,3 +60,58 @@ def candidate_links(pairs: DataFrame) -> DataFrame:
     """(id, links): of every song that is in a pair the number of its candidates."""
     both = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+
+
+def _block_pairs(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of ids that share a bucket, of different rows (kind, key, id).
+
+    A bucket over its cap is split by a hash of the id into blocks of about cap ids, and every two blocks meet in a
+    group of their own; so no bucket is left out and no task holds more than two blocks of it at a time.
+    """
+    keys = rows.withColumn("class", F.xxhash64("kind", "key"))
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col("kind")]
+    sizes = keys.groupBy("kind", "key", "class").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = materialize(sizes.select(F.col("kind").alias("_kind"), F.col("key").alias("_key"), "class", "n", F.ceil(F.col("n") / cap).cast("int").alias("blocks")))
+    hot = [r["class"] for r in kept.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+    rows = skew_join(bitmap_filter(keys, "class", kept.select("class")), kept, "class", hot=hot).where("kind = _kind and key = _key")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    met = rows.select("kind", "key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("kind", "key", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    side = lambda end: F.collect_list(F.when(F.col("own") == F.col(end), F.col("id")))
+    n = rows.sparkSession.sparkContext.defaultParallelism * 16
+    both = met.repartition(n, "kind", "key", "lo", "hi").groupBy("kind", "key", "lo", "hi").agg(side("lo").alias("left"), side("hi").alias("right"))
+    pairs = both.select("lo", "hi", "right", F.explode("left").alias("x")).select("lo", "hi", "x", F.explode("right").alias("y")).where("lo < hi or x < y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def covered_classes(songs: DataFrame, caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """All candidates in short: (id, rep) of songs with a key, and pairs (a, b), a < b, of representatives.
+
+    Songs with the same keys have one representative, the smallest. Two songs share a bucket, whatever its size, if and
+    only if they have the same representative or their representatives are a pair. ``songs`` has one row per song.
+    """
+    keys = F.filter(_keys(once_each=True), lambda k: k["key"] != "")
+    keyed = once(songs.where("song_index is not null").withColumn("id", F.col("song_index")), "keys", keys).select("id", "keys").where(F.size("keys") > 0)
+    ids = materialize(keyed.select("id", F.sha2(F.to_json("keys"), 256).alias("class")))
+    members = materialize(skew_join(ids, ids.groupBy("class").agg(F.min("id").alias("rep")), "class").select("id", "rep"))
+    one = keyed.join(members.where("id = rep").select("id"), "id", "left_semi")
+    return members, _block_pairs(one.select("id", F.explode("keys").alias("k")).select("k.kind", "k.key", "id"), caps or CAPS)
+
+
+def covered_pairs(songs: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of songs that share a bucket of any size in any index; caps only size the blocks."""
+    members, pairs = covered_classes(songs, caps)
+    side = lambda p: members.select(F.col("rep").alias(p), F.col("id").alias(f"{p}_id"))
+    apart = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    alike = _block_pairs(members.select(F.lit("class").alias("kind"), F.col("rep").cast("string").alias("key"), "id"), {"class": CAPS["title"]})
+    return apart.unionByName(alike)
+
+
+def covered_links(songs: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """(id, links): of every song that shares a bucket of any size the number of its candidates, without listing them."""
+    members, pairs = covered_classes(songs, caps)
+    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.unionAll(pairs.select("b", "a")).toDF("rep", "other")
+    others = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("others"))
+    links = sizes.join(others, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return skew_join(members, links, "rep").where("links > 0").select("id", "links")

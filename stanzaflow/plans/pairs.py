@@ -80,6 +80,11 @@ def joi1_candidate_links(spark, d):
     return B.candidate_links(B.candidate_pairs(songs_of(spark, d)))
 
 
+def joi1_covered_links(spark, d):
+    """As joi1_candidate_links, with the buckets over the caps too."""
+    return B.covered_links(songs_of(spark, d))
+
+
 def agg1_bucket_sizes(spark, d):
     sizes = B.bucket_sizes(B.blocking_keys(songs_of(spark, d)))
     return sizes.groupBy("kind").agg(F.count(F.lit(1)).alias("buckets"), F.sum("n").alias("rows"), F.max("n").alias("largest"), F.count_if("kept").alias("kept"))
@@ -171,6 +176,7 @@ _hi, _lo, _t, _y = "greatest(ab, ba)", "least(ab, ba)", "t", "y"
 ORACLE = {
     "joi1_candidate_pairs": _PAIRS_SQL + " SELECT a, b FROM pr",
     "joi1_candidate_links": _PAIRS_SQL + " SELECT id, count(*) AS links FROM (SELECT a AS id FROM pr UNION ALL SELECT b FROM pr) GROUP BY id",
+    "joi1_covered_links": _KEYS_SQL + ", pr AS (SELECT DISTINCT x.id AS a, y.id AS b FROM ky x JOIN ky y USING (kind, key) WHERE x.id < y.id) SELECT id, count(*) AS links FROM (SELECT a AS id FROM pr UNION ALL SELECT b FROM pr) GROUP BY id",
     "agg1_bucket_sizes": _KEYS_SQL + " SELECT kind, count(*) AS buckets, sum(n)::bigint AS rows, max(n) AS largest, count(*) FILTER (n BETWEEN 2 AND cap) AS kept FROM bk GROUP BY kind",
     "joi2_over_cap": _KEYS_SQL + " SELECT kind, key, n FROM bk WHERE n > cap",
     "joi3_token_buckets": _KEYS_SQL + " SELECT key, count(*) AS rows, count(DISTINCT id) AS songs FROM ky WHERE kind = 'token' GROUP BY key",

@@ -53,7 +53,7 @@ def build(spark: SparkSession, roots: dict[str, str], out: str, config: RunConfi
     """
     config = config or RunConfig()
     songs = materialize(parse_files(read_sources(spark, roots, config)))
-    scores = materialize(similarity.score_pairs(blocking.candidate_pairs(songs, config.caps), songs))
+    scores = materialize(similarity.score_pairs(blocking.covered_pairs(songs, config.caps), songs))
     members = materialize(graph.groups(songs, scores.where(F.col("lyric_identity_score") >= config.auto_identity).select("a", "b")))
     conflicts = catalog.conflict_pairs(scores, songs, config.review)
     best = catalog.best_pairs(members, scores)

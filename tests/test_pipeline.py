@@ -56,3 +56,11 @@ def test_all_classes(spark, tmp_path):
     assert json.loads((tmp_path / "out/reports/run_summary.json").read_text())["title_lyric_conflicts"] == 1
     dry = build(spark, {"onsong": str(tmp_path / "none")}, str(tmp_path / "dry"), RunConfig(dry_run=True))
     assert dry["source_count"] == dry["exported_count"] == 0
+
+
+def test_more_equal_songs_than_the_caps_are_one_group(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for i in range(6):
+        (tmp_path / f"b/{i}.onsong").write_text(sheet("Clean Song", lyrics(1)), encoding="utf-8")
+    summary = build(spark, {"onsong": str(tmp_path / "b")}, str(tmp_path / "out"), RunConfig(title_cap=5, line_cap=5, dry_run=True))
+    assert summary["source_count"] == 6 and summary["group_count"] == 1

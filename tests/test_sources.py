@@ -2,6 +2,7 @@
 
 import json
 import xml.etree.ElementTree as ET
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -109,6 +110,26 @@ def test_blocking_caps(spark):
     assert links == {0: 2, 1: 2, 2: 2}
 
 
+def test_blocking_covers_buckets_over_the_caps(spark):
+    schema = "song_index bigint, normalized_title string, compact_title string, title_tokens array<string>, lyric_lines array<string>, lyric_shingles array<string>"
+    line = "line number {} is long".format
+    rows = [(i, f"title {i % 3}" if i % 5 else None, "", [f"tok{i % 7}", f"tok{i % 7}"], [line(i % 11), line(i % 4), "oh"], [f"s{i}"]) for i in range(60)]
+    rows += [(100 + i, "same", "same", ["same"], [line("x"), line("x")], ["s"]) for i in range(40)] + [(200, "", None, None, None, None), (201, "alone", "", [], [], []), (202, "same", "other", [], [], [])]
+    songs = spark.createDataFrame(rows, schema)
+    buckets = defaultdict(set)
+    for i, t, c, k, lines, sh in rows:
+        for key in [("t", t), ("c", c), *[("k", x) for x in k or []], *[("l", x) for x in lines or [] if len(x) >= 10], *[("s", x) for x in sh or []]]:
+            if key[1]:
+                buckets[key].add(i)
+    want = {(a, b) for v in buckets.values() for a in v for b in v if a < b}
+    for caps in ({k: 4 for k in blocking.CAPS}, None):
+        got = list(map(tuple, blocking.covered_pairs(songs, caps).collect()))
+        assert len(got) == len(want) and set(got) == want
+    links = {r.id: r.links for r in blocking.covered_links(songs, {k: 4 for k in blocking.CAPS}).collect()}
+    assert links == Counter(x for p in want for x in p)
+    assert blocking.covered_pairs(songs.limit(0)).count() == blocking.covered_links(songs.limit(0)).count() == 0
+
+
 def test_diff():
     a, b = "Title: A\n[G]one\ntwo\nthree", "Title: B\n[C]one\ntwo\nfour"
     d = diff.align(a, b)
