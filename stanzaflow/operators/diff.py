@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stanzaflow.functions import text as T
 
-#: Above so many lines or cells the lines are compared by position; so many rows are kept.
+#: Above so many lines or cells a pair is marked as simplified, as in the reference; so many rows are kept for display.
 FULL_LINES, FULL_CELLS, RENDERED = 1200, 350_000, 900
 _META, _CHORD = re.compile(T.REVIEW_META), re.compile(T.REVIEW_CHORD)
 
@@ -67,17 +67,15 @@ def align(text_a: str, text_b: str, keep_changed: bool = False) -> dict:
     """Aligned lines of two texts as (left, right, status), with likeness, counts and the side that looks partial.
 
     Lines are aligned on their normalised form; a replaced line is one row with ``keep_changed``, else one row per side.
-    Very large texts are compared by position.
+    Very large texts are aligned as well; they are only marked as ``simplified``, since the reference compares them by
+    position. Likeness and counts are of all lines; ``lines`` is cut for display, ``row_count`` is not.
     """
     a, b = (text_a or "").splitlines(), (text_b or "").splitlines()
     simple = len(a) + len(b) > FULL_LINES or len(a) * max(1, len(b)) > FULL_CELLS
     rows: list[tuple[str, str, str]] = []
     side = lambda x, i, end: x[i] if i < end else ""
-    if simple:
-        blocks = [("replace", 0, len(a), 0, len(b))]
-    else:
-        key = lambda x: _norm(x) or x.strip().lower()
-        blocks = SequenceMatcher(None, [key(x) for x in a], [key(x) for x in b], autojunk=False).get_opcodes()
+    key = lambda x: _norm(x) or x.strip().lower()
+    blocks = SequenceMatcher(None, [key(x) for x in a], [key(x) for x in b], autojunk=False).get_opcodes()
     for tag, i, i2, j, j2 in blocks:
         for k in range(max(i2 - i, j2 - j)):
             left, right = side(a, i + k, i2), side(b, j + k, j2)
@@ -86,25 +84,24 @@ def align(text_a: str, text_b: str, keep_changed: bool = False) -> dict:
             elif tag in ("delete", "insert"):
                 rows.append((left, right, "a_only" if tag == "delete" else "b_only"))
             else:
-                rows += _pair(left, right, not keep_changed and not simple)
+                rows += _pair(left, right, not keep_changed)
     x, y = [n for n in map(_norm, a) if n], [n for n in map(_norm, b) if n]
-    most = 200 if simple else None
-    likeness = SequenceMatcher(None, "\n".join(x[:most]), "\n".join(y[:most]), autojunk=False).ratio()
+    likeness = SequenceMatcher(None, "\n".join(x), "\n".join(y), autojunk=False).ratio()
     short = lambda p, q: len(p) <= max(2, int(len(q) * 0.55))
     return {
-        "lines": [{"left": p, "right": q, "status": s} for p, q, s in rows[:RENDERED]], "similarity": likeness, "chord_changes": sum(s == "chord_change" for _, _, s in rows),
+        "lines": [{"left": p, "right": q, "status": s} for p, q, s in rows[:RENDERED]], "row_count": len(rows), "similarity": likeness, "chord_changes": sum(s == "chord_change" for _, _, s in rows),
         "metadata_changes": sum(s == "metadata" and p != q for p, q, s in rows), "partial": "" if not x or not y else "A" if short(x, y) else "B" if short(y, x) else "", "simplified": simple, "truncated": len(rows) > RENDERED,
     }
 
 
-DIFF = "lines array<struct<left:string,right:string,status:string>>, similarity double, chord_changes bigint, metadata_changes bigint, partial string, simplified boolean, truncated boolean"
+DIFF = "lines array<struct<left:string,right:string,status:string>>, row_count bigint, similarity double, chord_changes bigint, metadata_changes bigint, partial string, simplified boolean, truncated boolean"
 
 
 def song_diffs(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """The alignment of every pair of texts, computed in Arrow batches spread evenly over tasks. Null text is empty."""
     line = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("status", pa.string())]))
-    types = [line, pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
-    names = ["lines", "similarity", "chord_changes", "metadata_changes", "partial", "simplified", "truncated"]
+    types = [line, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+    names = ["lines", "row_count", "similarity", "chord_changes", "metadata_changes", "partial", "simplified", "truncated"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -77,7 +77,7 @@ def _texts(spark, d):
 
 
 def dif1_song_diffs(spark, d):
-    return D.song_diffs(_texts(spark, d), "ta", "tb", ["a", "b"]).select("a", "b", F.size("lines").alias("rows"), F.round("similarity", 6).alias("similarity"), "chord_changes", "metadata_changes", "partial", "simplified", "truncated")
+    return D.song_diffs(_texts(spark, d), "ta", "tb", ["a", "b"]).select("a", "b", F.col("row_count").cast("int").alias("rows"), F.round("similarity", 6).alias("similarity"), "chord_changes", "metadata_changes", "partial", "simplified", "truncated")
 
 
 def dif2_positional(spark, d):

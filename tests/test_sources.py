@@ -140,6 +140,16 @@ def test_diff():
     assert diff.align("x\n" * 2000, "x\n" * 2000)["simplified"]
 
 
+def test_large_diff_is_whole(spark):
+    a = [f"l{i}" for i in range(700)]
+    b = ["new first", *a[:400], *["w"] * 300]
+    pair = spark.createDataFrame([(1, "\n".join(a), "\n".join(b))], "k int, x string, y string")
+    d = diff.song_diffs(pair, "x", "y", ["k"]).first()
+    assert d.simplified and d.truncated and len(d.lines) == diff.RENDERED and d.row_count == 1 + 400 + 600
+    assert [x.status for x in d.lines[:401]] == ["b_only"] + ["equal"] * 400
+    assert 0.5 < d.similarity < 1.0
+
+
 def test_review(spark):
     df = spark.createDataFrame([("A", "The Hill", None), ("B", "River", "ann")], "k string, title string, artist string")
     assert [r.k for r in review.matching(df, ["title", "artist"], "hill the").collect()] == ["A"]
