@@ -13,7 +13,8 @@ _INLINE = rf"\[\s*{CHORD}\s*\]"
 _DIRECTIVE = r"(?m)^[ \t]*\{[^{}\n]*\}[ \t]*$\n?"
 _CHORD_LINE = rf"(?m)^[ \t|/.\-]*+(?:\[?{CHORD}\]?(?=[ \t|/.\-\]]|$)[ \t|/.\-]*+)++$\n?"
 _HEADING = rf"(?mi)^[ \t]*(?:\[[ \t]*(?:{HEADINGS})[ \t]*\d*[ \t]*\]|(?:{HEADINGS})[ \t]*\d*[ \t]*:|(?:verse|chorus|bridge|refrain|tag|ending|outro|intro|v|c)[ \t]*\d*)[ \t]*$\n?"
-_REPEAT = r"(?mi)\([ \t]*(?:[x×] ?\d+|\d+ ?[x×]|bis|repeat[^()\n]*)[ \t]*\)|\|:|:\||[ \t](?:[x×] ?\d+|\d+ ?[x×])[ \t]*$"
+_MARK = r"(?:[x×](?<![\p{L}\p{M}\p{N}].) ?\d++|\d(?<![\p{L}\p{M}\p{N}].)\d*+ ?[x×])(?![\p{L}\p{M}\p{N}'’-])"
+_REPEAT = rf"(?i)\([ \t]*(?:{_MARK}|bis|repeat[^()\n]*)[ \t]*\)|\[[ \t]*(?:{_MARK}|bis|repeat[^\[\]\n]*)[ \t]*\]|\|:|:\||{_MARK}"
 
 
 def sung_text(text: Column) -> Column:

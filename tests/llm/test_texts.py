@@ -238,3 +238,11 @@ def test_sung_text(spark):
 def test_labels(spark):
     df = spark.createDataFrame([("en-GB",), (" EN",), ("eng",), ("Español",), ("pt_BR",), ("xx",), ("mul",), (None,), ("",), ("ger",)], "x string")
     assert [r.y for r in df.select(languages.normal_label(F.col("x")).alias("y")).collect()] == ["en", "en", "en", "es", "pt", None, None, None, None, "de"]
+
+
+def test_repeat_marks_anywhere(spark):
+    texts = ["sing x2 again", "sing x2, again", "sing [x2] again", "x2 sing again", "sing again 2x", "sing (2 x) again", "sing 3× again.", "sing [bis] again", "sing ×12\nagain"]
+    kept = ["max2 sing", "2xl again", "2 x-ray", "fox 2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + kept)], "i int, t string")
+    got = [r.x for r in df.orderBy("i").select(tables.plain_words(F.col("t")).alias("x")).collect()]
+    assert got == [["sing", "again"]] * len(texts) + [["max2", "sing"], ["2xl", "again"], ["2", "x", "ray"], ["fox", "2"]]
