@@ -16,11 +16,11 @@ def upsert_batches(stream: DataFrame, table: VersionedTable, checkpoint: str, on
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        done = table.manifest(table.version())["properties"].get("batch", -1)
+        done = table.properties().get("batch", -1)
         if number <= done:
             return
         rows = batch.where(f"{table.key} is not null").dropDuplicates([table.key])
-        table.commit(added=rows, deleted_keys=rows.select(table.key), properties={"batch": number})
+        table.commit(added=rows, replace=True, properties={"batch": number})
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from stanzaflow.operators import changes as C
 
@@ -79,4 +80,59 @@ def test_two_writers_cannot_both_commit(spark, tmp_path):
     t = C.VersionedTable(spark, str(tmp_path / "t"), "id")
     t.commit(spark.createDataFrame([(1,)], "id bigint"))
     with pytest.raises(RuntimeError):
-        t._commit(0, {"files": {}, "properties": {}})
+        t._commit(0)
+    assert t.version() == 1
+
+
+def test_commits_follow_the_change(spark, tmp_path, monkeypatch):
+    t = C.VersionedTable(spark, str(tmp_path / "t"), "id")
+    df = spark.range(200).select(F.col("id"), F.lit("x").alias("v"), F.lit(1).alias("n"))
+    t.commit(df.unionByName(spark.createDataFrame([(None, "null", 1)], "id bigint, v string, n int")))
+    first = set(t.state()["files"])
+    for k in range(3):
+        t.commit(deleted_keys=spark.createDataFrame([(k,)], "id bigint"))
+    t.commit(spark.createDataFrame([(7, "new", 2), (None, "fresh", 2)], "id bigint, v string, n int"), replace=True)
+    assert first < set(t.state()["files"])  # no file is rewritten
+    assert t.read().count() == 198 and [r.v for r in t.read().where("id is null").collect()] == ["fresh"]
+    opened = []
+    rows = t._rows
+    monkeypatch.setattr(t, "_rows", lambda files: opened.extend(files) or rows(files))
+    t.commit(deleted_keys=spark.createDataFrame([(9,)], "id bigint"))
+    assert 0 < len([f for f in opened if f in first]) < len(first)
+    opened.clear()
+    assert [(r._change, r.id) for r in t.changes(5, 6).collect()] == [("delete", 9)]
+    assert len(opened) == 1
+    assert t.changes(6, 6) is None and t.read(1).count() == 201
+
+
+def test_snapshots_hold_the_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "SNAPSHOT_EVERY", 3)
+    t = C.VersionedTable(spark, str(tmp_path / "t"), "id")
+    for k in range(7):
+        t.commit(spark.createDataFrame([(k % 4, k)], "id bigint, v int"), replace=True, properties={"k": k})
+    assert sorted(map(tuple, t.read().collect())) == [(0, 4), (1, 5), (2, 6), (3, 3)]
+    assert sorted(map(tuple, t.read(3).collect())) == [(0, 0), (1, 1), (2, 2)]
+    assert t.properties() == {"k": 6} and t.state(3)["properties"] == {"k": 2}
+
+
+@pytest.mark.parametrize("broken", ["sync", "_write", "_commit"])
+def test_file_changes_survive_failures(spark, tmp_path, monkeypatch, broken):
+    m = dt.timedelta(minutes=1)
+    scans = spark.createDataFrame([(1, "a", "h", 1, 1, T0, "x"), (2, "b", "new", 1, 1, T0, "x"), (3, "c", "h", 1, 1, T0, "x")], SCAN)
+    journal = spark.createDataFrame([(p, "h", 1, 1, "r1", "2024-03-01T00:00:00", "y") for p in "abd"], JOURNAL)
+    runs = spark.createDataFrame([("r1", "ok")], RUNS)
+    folder, calls, real = str(tmp_path / "f"), [], getattr(C.VersionedTable, broken)
+
+    def fails(self, *args, **kw):
+        calls.append(1)
+        if len(calls) == {"sync": 1, "_write": 3, "_commit": 4}[broken]:
+            raise OSError("driver lost")
+        return real(self, *args, **kw)
+
+    monkeypatch.setattr(C.VersionedTable, broken, fails)
+    with pytest.raises(OSError):
+        C.file_changes(scans, journal, runs, folder)
+    assert sorted(map(tuple, C.file_changes(scans, journal, runs, folder).collect())) == [("b", "changed"), ("c", "added"), ("d", "removed")]
+    assert C.file_changes(scans, journal, runs, folder).count() == 0  # nothing is done twice
+    later = scans.unionByName(spark.createDataFrame([(4, "a", "h3", 1, 1, T0 + m, "x")], SCAN))
+    assert [tuple(r) for r in C.file_changes(later, journal, runs, folder).collect()] == [("a", "changed")]

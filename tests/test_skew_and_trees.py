@@ -44,6 +44,21 @@ def test_skew_join_keeps_all_rows(spark):
     assert skew.hot_keys(left, "k", rows=10) == ["hot"]
 
 
+def test_skew_join_splits_any_number_of_hot_keys(spark):
+    left = spark.range(3000).select("id", (F.col("id") % 300).cast("string").alias("k"))
+    right = spark.range(310).select(F.col("id").cast("string").alias("k"), (F.col("id") * 2).alias("v"))
+    hot = skew.hot_keys(left, "k", rows=10)
+    assert len(hot) == 300
+    got = skew.skew_join(left, right, "k", hot=hot)
+    assert got.count() == 3000 and got.where("v <> 2 * cast(k as int)").count() == 0
+    assert skew.skew_join(left, right, "k", "left", hot=hot[:299]).count() == 3000
+
+
+def test_shared_folder(spark):
+    folder = skew.shared_folder(spark)
+    assert folder == skew.shared_folder(spark) and skew.scratch(spark, "x").startswith(folder)
+
+
 def test_bitmap_filter_loses_nothing(spark):
     df = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
     wanted = df.where("id % 97 = 0").select("h")
