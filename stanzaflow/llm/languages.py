@@ -22,7 +22,9 @@ from stanzaflow.operators.skew import once
 
 #: Labelled lines to fit on: at most so many per language.
 SAMPLES_PER_LANGUAGE = 2_000
-ROUNDS, BACKGROUND, LONGEST, WORD_BYTES = 4, 30.0, 16, 48
+ROUNDS, BACKGROUND = 4, 30.0
+#: Words of up to so many bytes are summed side by side, so many at a time; a longer one by itself, with the same result.
+SIDE_BY_SIDE, BLOCK = 64, 20_000
 #: Nats by which a section must fit another language better before it counts as that language, and words it needs.
 MARGIN, LEAST_WORDS = 6.0, 3
 #: Keeps the forward sums of long words near one; it cancels out.
@@ -58,35 +60,60 @@ class Model:
     probs: np.ndarray
     langs: list[str]
 
+    @property
+    def longest(self) -> int:
+        """Bytes of the longest piece."""
+        return max(map(len, self.ids))
+
     def score(self, words: list[str]) -> np.ndarray:
-        """log P(word | language), summed over all segmentations of each word into pieces; words of like length together."""
+        """log P(word | language), summed over all segmentations of each whole word into pieces; words of like length together."""
         out = np.zeros((len(words), len(self.langs)))
         by_size: dict[int, list[tuple[int, bytes]]] = {}
         for i, w in enumerate(byte_words(words)):
-            for a in range(0, len(w), WORD_BYTES):  # a longer word is scored in stretches
-                by_size.setdefault(len(w[a : a + WORD_BYTES]), []).append((i, w[a : a + WORD_BYTES]))
-        none = len(self.probs) - 1
+            by_size.setdefault(len(w), []).append((i, w))
+        none, longest = len(self.probs) - 1, self.longest
         get = self.ids.get
-        for n, group in by_size.items():
-            table = np.array([[get(w[i:j], none) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)] for _, w in group])
-            alpha = np.zeros((n + 1, len(group), len(self.langs)))
-            alpha[0] = 1.0
-            col = 0
-            for j in range(1, n + 1):
-                for i in range(max(0, j - LONGEST), j):
-                    alpha[j] += alpha[i] * self.probs[table[:, col]]
-                    col += 1
-            np.add.at(out, [i for i, _ in group], np.log(np.maximum(alpha[n], 1e-300)) - n * np.log(SCALE))
+        for n, every in by_size.items():
+            if n > SIDE_BY_SIDE:
+                for i, w in every:
+                    out[i] = self._long(w, longest)
+                continue
+            for at in range(0, len(every), BLOCK):
+                group = every[at : at + BLOCK]
+                table = np.array([[get(w[i:j], none) for j in range(1, n + 1) for i in range(max(0, j - longest), j)] for _, w in group])
+                alpha = np.zeros((n + 1, len(group), len(self.langs)))
+                alpha[0] = 1.0
+                col = 0
+                for j in range(1, n + 1):
+                    for i in range(max(0, j - longest), j):
+                        alpha[j] += alpha[i] * self.probs[table[:, col]]
+                        col += 1
+                out[[i for i, _ in group]] = np.log(np.maximum(alpha[n], 1e-300)) - n * np.log(SCALE)
         return out
 
-
-def _expected(word: bytes, ids: dict[bytes, int], p: np.ndarray, times: int, into: np.ndarray) -> None:
-    """Add the expected piece counts of a word under p, over all its segmentations."""
+    def _long(self, word: bytes, longest: int) -> np.ndarray:
+        """The forward sum of one word of any length, in memory of the longest piece: sums are brought back to one as it goes."""
+        sums, logs = [np.ones(len(self.langs))], np.zeros(len(self.langs))
+        for j in range(1, len(word) + 1):
+            total = np.zeros(len(self.langs))
+            for back in range(1, len(sums) + 1):
+                if (k := self.ids.get(word[j - back : j])) is not None:
+                    total = total + sums[-back] * self.probs[k]
+            sums = [*sums[-(longest - 1) :], total] if longest > 1 else [total]
+            if j % 16 == 0:
+                top = np.maximum(np.max(sums, axis=0), 1e-300)
+                sums = [x / top for x in sums]
+                logs = logs + np.log(top)
+        return np.log(np.maximum(sums[-1], 1e-300)) + logs - len(word) * np.log(SCALE)
+
+
+def _expected(word: bytes, ids: dict[bytes, int], p: np.ndarray, times: int, into: np.ndarray, longest: int) -> None:
+    """Add the expected piece counts of a whole word under p, scaled by SCALE a byte, over all its segmentations."""
     n = len(word)
     f = np.zeros(n + 1)
     b = np.zeros(n + 1)
     f[0] = b[n] = 1.0
-    edges = [(i, j, k) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j) if (k := ids.get(word[i:j])) is not None]
+    edges = [(i, j, k) for j in range(1, n + 1) for i in range(max(0, j - longest), j) if (k := ids.get(word[i:j])) is not None]
     for i, j, k in edges:
         f[j] += f[i] * p[k]
     for i, j, k in reversed(edges):
@@ -100,7 +127,8 @@ def fit(samples: list[tuple[str, str]], pieces: list[bytes]) -> Model:
     """Piece probabilities of every language by expectation-maximisation over all segmentations of its lines."""
     langs = sorted({lang for lang, _ in samples})
     counts = {lang: Counter(byte_words([w for la, t in samples if la == lang for w in words_of(t)])) for lang in langs}
-    texts = {w[i:j] for c in counts.values() for w in c for i in range(len(w)) for j in range(i + 1, min(len(w), i + LONGEST) + 1)}
+    longest = max(map(len, pieces))
+    texts = {w[i:j] for c in counts.values() for w in c for i in range(len(w)) for j in range(i + 1, min(len(w), i + longest) + 1)}
     known = [p for p in pieces if p in texts or len(p) == 1]
     ids = {p: i for i, p in enumerate(known)}
     size = np.array([len(p) for p in known], float)
@@ -112,14 +140,14 @@ def fit(samples: list[tuple[str, str]], pieces: list[bytes]) -> Model:
         for lang in langs:
             into = np.zeros(len(known))
             for w, k in counts[lang].items():
-                _expected(w[:WORD_BYTES], ids, probs[lang], k, into)
+                _expected(w, ids, probs[lang] * SCALE**size, k, into, longest)
             found[lang] = into
         shared = sum(x / max(1e-9, x.sum()) for x in found.values()) / len(langs)
         for lang in langs:
             p = found[lang] + BACKGROUND * (0.3 * shared + 0.7 * flat)
             probs[lang] = p / p.sum()
     # a piece that no sample holds has one small probability in all languages; the last row is for what is no piece
-    rest = [p for p in pieces if p not in ids and len(p) <= LONGEST]
+    rest = [p for p in pieces if p not in ids]
     table = np.zeros((len(known) + len(rest) + 1, len(langs)))
     for k, lang in enumerate(langs):
         table[: len(known), k] = probs[lang] * SCALE**size
@@ -142,10 +170,11 @@ def section_words(text: Column) -> Column:
 
 
 def with_sections(documents: DataFrame) -> DataFrame:
-    """Adds ``sections``, the sung sections of a document as words; sections are separated by blank lines, in prose by line ends.
+    """Adds ``sections``, the sections of a document as words, and ``heading``, whether the first of them is its title.
 
-    The title is left out: a first section equal to ``title``, or where that is missing one of a single line of at most
-    ten words before others. Headings, chords and directives are gone; a section without words is dropped.
+    Sections are separated by blank lines, in prose by line ends. The first is the title if it equals ``title``, or where
+    that is missing if it is a single line of at most ten words before others. Section names, chords and directives are
+    gone; a section without words is none.
     """
     body = once(documents, "_body", F.regexp_replace(sung_text(F.col("text")), r"^\s+", ""))
     blank = F.col("_body").rlike(r"\S[ \t]*\n[ \t]*\n\s*\S")
@@ -154,10 +183,8 @@ def with_sections(documents: DataFrame) -> DataFrame:
     parts = once(once(body, "_parts", F.filter(worded, lambda x: x["w"] != "")), "_named", section_words(F.coalesce("title", F.lit(""))))
     first, several, named = F.try_element_at("_parts", F.lit(1)), F.size("_parts") > 1, F.col("_named")
     guess = (named == "") & ~first["long"] & several & (F.size(F.split(first["w"], " ")) <= 10)
-    titled = once(parts, "_titled", F.coalesce((F.size("_parts") > 0) & ((first["w"] == named) | guess), F.lit(False)))
-    words = F.transform("_parts", lambda x: x["w"])
-    rest = F.when(F.col("_titled"), F.slice(words, F.lit(2), F.greatest(F.size("_parts") - 1, F.lit(0)))).otherwise(words)
-    return titled.withColumn("sections", rest).drop("_body", "_parts", "_named", "_titled")
+    heading = F.coalesce((F.size("_parts") > 0) & ((first["w"] == named) | guess), F.lit(False))
+    return parts.withColumn("heading", heading).withColumn("sections", F.transform("_parts", lambda x: x["w"])).drop("_body", "_parts", "_named")
 
 
 def normal_label(label: Column) -> Column:
@@ -167,7 +194,7 @@ def normal_label(label: Column) -> Column:
     return F.try_element_at(table, F.split(F.lower(F.trim(F.coalesce(label, F.lit("")))), "[-_. ]")[0])
 
 
-RESULT = "doc_id bigint, label string, lang string, confidence double, segments array<struct<first:int,sections:int,words:int,lang:string,confidence:double>>"
+RESULT = "doc_id bigint, label string, lang string, confidence double, segments array<struct<first:int,sections:int,words:int,heading:boolean,lang:string,confidence:double>>"
 
 
 def _posterior(scores: np.ndarray) -> np.ndarray:
@@ -180,8 +207,9 @@ def labelled(documents: DataFrame, lang_samples: DataFrame, vocabulary_path: str
 
     A segment is a run of sections of one language; words are scored with every language's piece probabilities, summed
     over all segmentations, and a section leaves the document's main language only if another fits it better by MARGIN
-    nats. Confidence is the posterior under equal priors. A document without words (null, empty, only chords) has null
-    language and no segments. Whole texts are read.
+    nats. A title is a segment of its own, marked as ``heading``, and has no say in the main language unless there is
+    nothing else. Confidence is the posterior under equal priors. A document without words (null, empty, only chords)
+    has null language and no segments. Whole texts are read.
     """
     from pyspark.sql import Window
 
@@ -189,7 +217,7 @@ def labelled(documents: DataFrame, lang_samples: DataFrame, vocabulary_path: str
     rows = lang_samples.where("text <> '' and lang <> ''").withColumn("_k", rank).where(F.col("_k") <= SAMPLES_PER_LANGUAGE).select("lang", "text").collect()
     spark = documents.sparkSession
     model = spark.sparkContext.broadcast(cloudpickle.dumps(fit(sorted((r["lang"], r["text"]) for r in rows), vocabulary(vocabulary_path))))
-    kind = pa.list_(pa.struct([("first", pa.int32()), ("sections", pa.int32()), ("words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("sections", pa.int32()), ("words", pa.int32()), ("heading", pa.bool_()), ("lang", pa.string()), ("confidence", pa.float64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pickle.loads(model.value)
@@ -200,6 +228,7 @@ def labelled(documents: DataFrame, lang_samples: DataFrame, vocabulary_path: str
             off = lists.offsets.to_numpy().astype(np.int64)
             texts = lists.values.slice(off[0], off[-1] - off[0])
             off = off - off[0]
+            heads = batch.column(3).to_pylist()
             langs: list = [None] * batch.num_rows
             sure: list = [None] * batch.num_rows
             segments: list = [[] for _ in range(batch.num_rows)]
@@ -226,20 +255,24 @@ def labelled(documents: DataFrame, lang_samples: DataFrame, vocabulary_path: str
                 clear = (sec[np.arange(len(sec)), best] - top2 > MARGIN) & (size >= LEAST_WORDS)
                 for d in np.flatnonzero(np.diff(off)):
                     a, b = off[d], off[d + 1]
+                    head = int(heads[d])
+                    x0 = a + head if b - a > head else a  # what counts for the main language
                     own = sec[a:b]
-                    votes = np.bincount(best[a:b][clear[a:b]], size[a:b][clear[a:b]], len(m.langs))
-                    main = int(votes.argmax()) if votes.any() else int(own.sum(axis=0).argmax())
+                    votes = np.bincount(best[x0:b][clear[x0:b]], size[x0:b][clear[x0:b]], len(m.langs))
+                    main = int(votes.argmax()) if votes.any() else int(sec[x0:b].sum(axis=0).argmax())
                     gain = own.max(axis=1) - own[:, main]
                     lang = np.where((gain > MARGIN) & (size[a:b] >= LEAST_WORDS), best[a:b], main)
-                    cut = [0, *(np.flatnonzero(np.diff(lang)) + 1).tolist(), b - a]
+                    ends = set((np.flatnonzero(np.diff(lang)) + 1).tolist()) | ({1} if head else set())
+                    cut = [0, *sorted(ends - {b - a}), b - a]
                     for x, y in zip(cut, cut[1:], strict=False):
                         post = _posterior(own[x:y].sum(axis=0, keepdims=True))[0, lang[x]]
-                        segments[d].append({"first": x, "sections": y - x, "words": int(size[a + x : a + y].sum()), "lang": m.langs[lang[x]], "confidence": float(post)})
+                        segments[d].append({"first": x, "sections": y - x, "words": int(size[a + x : a + y].sum()), "heading": bool(head and x == 0), "lang": m.langs[lang[x]], "confidence": float(post)})
                     langs[d] = m.langs[main]
-                    sure[d] = float(_posterior(own[lang == main].sum(axis=0, keepdims=True))[0, main]) if (lang == main).any() else 0.0
+                    mine = sec[x0:b][lang[x0 - a :] == main]
+                    sure[d] = float(_posterior(mine.sum(axis=0, keepdims=True))[0, main]) if len(mine) else 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(segments, kind)], names=["doc_id", "label", "lang", "confidence", "segments"])
 
-    return with_sections(documents.select("doc_id", "text", "title", "lang")).select("doc_id", "sections", normal_label(F.col("lang")).alias("label")).mapInArrow(scan, RESULT)
+    return with_sections(documents.select("doc_id", "text", "title", "lang")).select("doc_id", "sections", normal_label(F.col("lang")).alias("label"), "heading").mapInArrow(scan, RESULT)
 
 
 def document_languages(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
@@ -248,16 +281,18 @@ def document_languages(documents: DataFrame, lang_samples: DataFrame) -> DataFra
 
 
 def document_segments(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
-    """(doc_id, segment, first_section, sections, words, lang, confidence) of every segment of every document."""
+    """(doc_id, segment, first_section, sections, words, heading, lang, confidence) of every segment of every document."""
     rows = labelled(documents, lang_samples).select("doc_id", F.posexplode("segments").alias("segment", "s"))
-    return rows.select("doc_id", "segment", F.col("s.first").alias("first_section"), "s.sections", "s.words", "s.lang", F.round("s.confidence", 6).alias("confidence"))
+    return rows.select("doc_id", "segment", F.col("s.first").alias("first_section"), "s.sections", "s.words", "s.heading", "s.lang", F.round("s.confidence", 6).alias("confidence"))
 
 
 def label_cases(documents: DataFrame, lang_samples: DataFrame) -> DataFrame:
     """(doc_id, true_lang): documents with words whose label is missing, no language or wrong, or that mix languages.
 
-    One row per language of the sections. The label travels through the scan beside the text, so nothing is joined.
+    One row per language of the sections; a title is none. The label travels through the scan beside the text, so nothing
+    is joined.
     """
-    rows = labelled(documents, lang_samples).where("doc_id is not null").select("doc_id", "label", F.array_distinct(F.transform("segments", lambda s: s["lang"])).alias("langs"))
+    sung = F.filter("segments", lambda s: ~s["heading"])
+    rows = labelled(documents, lang_samples).where("doc_id is not null").select("doc_id", "label", F.array_distinct(F.transform(sung, lambda s: s["lang"])).alias("langs"))
     wrong = (F.size("langs") > 1) | F.col("label").isNull() | (F.col("label") != F.col("langs")[0])
     return rows.where(F.size("langs") > 0).where(wrong).select("doc_id", F.explode("langs").alias("true_lang")).distinct()

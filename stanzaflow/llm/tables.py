@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 #: The grammar of a chord, and the headings of sections.
 CHORD = r"[A-G](?:#|b)?(?:mmaj|maj|min|dim|aug|sus|add|m)?\d*(?:(?:sus|add|maj)\d*)?(?:\([^()\[\]\n]{1,12}\))?(?:/[A-G](?:#|b)?)?"
 HEADINGS = "verse|chorus|bridge|refrain|tag|ending|outro|intro|interlude|instrumental|pre[- ]?chorus|repeat|coda|vamp|v|c|b|p|t"
+#: Names of sections in other languages.
+OTHER_HEADINGS = (
+    "estrofa|verso|coro|estribillo|puente|strophe|vers|brücke|zwischenspiel|couplet|pont|estrofe|refrão|ponte|refrein|brug|tussenspel|куплет|припев|бридж|проигрыш|strofa|ritornello"
+    "|zwrotka|refren|mostek|refräng|brygga|stick|절|후렴|브리지|간주|בית|פזמון|גשר"
+)
 
 _INLINE = rf"\[\s*{CHORD}\s*\]"
 _DIRECTIVE = r"(?m)^[ \t]*\{[^{}\n]*\}[ \t]*$\n?"
 _CHORD_LINE = rf"(?m)^[ \t|/.\-]*+(?:\[?{CHORD}\]?(?=[ \t|/.\-\]]|$)[ \t|/.\-]*+)++$\n?"
-_HEADING = rf"(?mi)^[ \t]*(?:\[[ \t]*(?:{HEADINGS})[ \t]*\d*[ \t]*\]|(?:{HEADINGS})[ \t]*\d*[ \t]*:|(?:verse|chorus|bridge|refrain|tag|ending|outro|intro|v|c)[ \t]*\d*)[ \t]*$\n?"
+_NAMED = rf"(?:{HEADINGS}|{OTHER_HEADINGS})"
+_HEADING = rf"(?miu)^[ \t]*+(?:\[[ \t]*{_NAMED}[ \t]*\d*[ \t]*\]|{_NAMED}[ \t]*\d*[ \t]*:|(?:verse|chorus|bridge|refrain|tag|ending|outro|intro|v|c|{OTHER_HEADINGS})[ \t]*\d*|\d[ \t]*절:?)[ \t]*$\n?"
 _MARK = r"(?:[x×](?<![\p{L}\p{M}\p{N}].) ?\d++|\d(?<![\p{L}\p{M}\p{N}].)\d*+ ?[x×])(?![\p{L}\p{M}\p{N}'’-])"
 _REPEAT = rf"(?i)\([ \t]*(?:{_MARK}|bis|repeat[^()\n]*)[ \t]*\)|\[[ \t]*(?:{_MARK}|bis|repeat[^\[\]\n]*)[ \t]*\]|\|:|:\||{_MARK}"
 

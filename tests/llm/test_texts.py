@@ -98,18 +98,34 @@ def test_forward_sum_equals_enumeration(lines):
             i, p = stack.pop()
             if i == n:
                 total += p
-            for j in range(i + 1, min(n, i + languages.LONGEST) + 1):
+            for j in range(i + 1, min(n, i + m.longest) + 1):
                 q = m.probs[m.ids[w[i:j]], k] if w[i:j] in m.ids else 0.0
                 if q:
                     stack.append((j, p * q))
         return np.log(total) - n * np.log(languages.SCALE)
 
     words = ["the", "moon", "año", "zq"]
+    assert m.longest > 16
     got = m.score(words)
     for i, w in enumerate(languages.byte_words(words)):
         assert got[i] == pytest.approx([brute(w, k) for k in range(len(m.langs))], rel=1e-6)
 
 
+def test_long_words_are_scored_whole(lines):
+    m = languages.fit([*lines[:40], ("en", "a" * 3000)], languages.vocabulary())
+    words = ["bromeliad" * 9, "x" * 80, "ящик" * 15, "y" * 60 + "tail", "y" * 60 + "liat"]
+    side = languages.SIDE_BY_SIDE
+    got = m.score(words)
+    try:
+        languages.SIDE_BY_SIDE = 1_000
+        want = m.score(words)
+    finally:
+        languages.SIDE_BY_SIDE = side
+    assert got == pytest.approx(want, rel=1e-9)
+    assert not np.allclose(got[3], got[4])
+    assert np.isfinite(m.score(["long" * 5_000])).all()
+
+
 def test_held_out_lines_get_their_language(lines):
     m = languages.fit([x for i, x in enumerate(lines) if i % 2], languages.vocabulary())
     held = [x for i, x in enumerate(lines) if i % 2 == 0]
@@ -124,15 +140,16 @@ def test_language_edges(spark, small, lines):
         by[lang].append(t)
     en, es, ru = (" \n".join(by[x][:6]) for x in ("en", "es", "ru"))
     rows = [
-        (1, en, "en-GB", "T"), (2, en, None, "T"), (3, f"T\n\n{en}\n\n{es}", "en", "T"), (4, "", "en", None), (5, None, None, None), (6, "[G] [C]\nAm  F", "xx", None), (7, ru, "RUS ", None), (8, es, "pt", "Una canción"), (9, f"English Heading Here\n\n{es}", "es", None),
+        (1, en, "en-GB", "T"), (2, en, None, "T"), (3, f"T\n\n{en}\n\n{es}", "en", "T"), (4, "", "en", None), (5, None, None, None), (6, "[G] [C]\nAm  F", "xx", None), (7, ru, "RUS ", None), (8, es, "pt", "Una canción"), (9, " ".join(en.split()[:9]) + f"\n\n{es}", "es", None),
         (10, "{title: X}\n" + (en + "\n\n") * 60, "und", "X"),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, title string").withColumn("label", F.lit("clash"))
     assert set(map(tuple, languages.label_cases(df, samples).collect())) == {(2, "en"), (3, "en"), (3, "es"), (8, "es"), (10, "en")}
     all_docs = {r.doc_id: r.lang for r in languages.document_languages(df, samples).collect()}
     assert len(all_docs) == 10 and all_docs[4] is all_docs[5] is all_docs[6] is None and all_docs[7] == "ru"
-    seg = [(r.lang, r.first_section) for r in languages.document_segments(df, samples).where("doc_id = 3").orderBy("segment").collect()]
-    assert seg == [("en", 0), ("es", 1)]
+    segments = languages.document_segments(df, samples).orderBy("doc_id", "segment").collect()
+    assert [(r.lang, r.first_section, r.heading) for r in segments if r.doc_id == 3][1:] == [("en", 1, False), ("es", 2, False)]
+    assert [(r.lang, r.heading) for r in segments if r.doc_id == 9] == [("en", True), ("es", False)]  # nothing is left out
     assert languages.label_cases(df.limit(0), samples).count() == 0
 
 
@@ -240,6 +257,13 @@ def test_labels(spark):
     assert [r.y for r in df.select(languages.normal_label(F.col("x")).alias("y")).collect()] == ["en", "en", "en", "es", "pt", None, None, None, None, "de"]
 
 
+def test_section_names_of_other_languages(spark):
+    texts = ["Estribillo:\nsing", "[Strophe 2]\nsing", "ПРИПЕВ\nsing", "Refrão 1:\nsing", "2절\nsing", "[פזמון]\nsing", "Zwrotka 1\nsing"]
+    df = spark.createDataFrame([(t,) for t in texts] + [("Vers la mer\nsing",)], "t string")
+    got = [r.x for r in df.select(tables.plain_words(F.col("t")).alias("x")).collect()]
+    assert got == [["sing"]] * len(texts) + [["vers", "la", "mer", "sing"]]
+
+
 def test_repeat_marks_anywhere(spark):
     texts = ["sing x2 again", "sing x2, again", "sing [x2] again", "x2 sing again", "sing again 2x", "sing (2 x) again", "sing 3× again.", "sing [bis] again", "sing ×12\nagain"]
     kept = ["max2 sing", "2xl again", "2 x-ray", "fox 2"]
