@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.llm.tables import word_hashes
+from stanzaflow.operators.skew import scratch
 
 SHINGLE = 5
 WINDOW = 20
@@ -17,6 +18,8 @@ WINDOW = 20
 ONE_IN = 10
 #: Items are taken in blocks of at most so many words: 16 MB of hashes, the most that is sent to a task at once.
 BLOCK_WORDS = 2_000_000
+#: Matches and aligned words that are looked at side by side: what a task holds beside its batch.
+AT_ONCE = 1 << 20
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 
@@ -43,7 +46,7 @@ def prefix_positions(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Positions of an item's shingles that are in the prefix of any of its windows.
 
     Of the n shingles of a window at least m must occur in a document that contains it, so one of the n - m + 1 rarest
-    must; ``rank`` orders all shingles by rarity.
+    must; ``rank`` orders all shingles by rarity. Whatever the order, at least (n - m + 1) / n of them are in it, 11 of 16.
     """
     n = WINDOW - SHINGLE + 1
     if len(tokens) < n:
@@ -54,12 +57,21 @@ def prefix_positions(tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.unique(rarest)
 
 
-def holds(equal: np.ndarray) -> bool:
-    """Whether a run of at least WINDOW aligned words has at most one word in ONE_IN that differs."""
-    if len(equal) < WINDOW:
-        return False
-    score = np.concatenate(([0], np.cumsum(np.where(equal, 1, 1 - ONE_IN))))
-    return bool((score[WINDOW:] - np.minimum.accumulate(score)[: len(score) - WINDOW] >= 0).any())
+def holding(equal: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of several rows of aligned words, one after the other in ``equal``, those with a run of at least WINDOW words of
+    which at most one in ONE_IN differs. No row is empty."""
+    far = len(equal) * ONE_IN + 1
+    case = np.repeat(np.arange(len(sizes)), sizes)
+    ends = np.cumsum(sizes)
+    score = np.cumsum(np.where(equal, 1, 1 - ONE_IN)) - case * far  # the least score of a row is below that of all before it
+    before = score - np.where(equal, 1, 1 - ONE_IN)
+    least = np.minimum.accumulate(before)
+    at = np.arange(len(equal))
+    ok = at - (WINDOW - 1) >= (ends - sizes)[case]
+    good = at[ok][score[ok] >= least[at[ok] - (WINDOW - 1)]]
+    out = np.zeros(len(sizes), bool)
+    out[case[good]] = True
+    return out
 
 
 def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +130,22 @@ def find_leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]]) -> DataFram
     count = np.diff(np.append(start, len(token)))
     ids = np.array([i for i, _ in items], np.int64)
     lengths = np.array([len(w) for _, w in items], np.int64)
-    words_of = [w for _, w in items]
+    words_of, begin = np.concatenate([w for _, w in items]), np.cumsum(lengths) - lengths
+
+    def verified(words: np.ndarray, off: np.ndarray, doc: np.ndarray, it: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Which candidates hold: their words side by side, AT_ONCE of them at a time."""
+        lo = np.maximum(0, -shift)
+        size = np.minimum(lengths[it], off[doc + 1] - off[doc] - shift) - lo
+        out, done, total = np.zeros(len(doc), bool), 0, np.cumsum(size)
+        while done < len(doc):
+            upto = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + AT_ONCE, side="right")))
+            d, k, n, a = doc[done:upto], it[done:upto], size[done:upto], lo[done:upto]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            left = words_of[np.repeat(begin[k] + a, n) + inner]
+            right = words[np.repeat(off[d] + a + shift[done:upto], n) + inner]
+            out[done:upto] = holding(left == right, n)
+            done = upto
+        return out
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,27 +159,21 @@ def find_leaks(docs: DataFrame, items: list[tuple[int, np.ndarray]]) -> DataFram
             inside = pos + SHINGLE <= off[doc + 1] - base
             long = off[doc + 1] - off[doc] >= WINDOW
             pos, doc = pos[inside & long], doc[inside & long]
-            n = count[at[pos]]
-            which = np.repeat(start[at[pos]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            pos, doc = np.repeat(pos, n), np.repeat(doc, n)
-            it, shift = item[which], pos - (off[doc] - base) - place[which]
-            # positional bound: the overlap of item and document at this shift must hold a window
-            size = off[doc + 1] - off[doc]
-            overlap = np.minimum(size - shift, lengths[it]) - np.maximum(-shift, 0)
-            good = overlap >= WINDOW
-            cases = np.unique(np.stack([doc[good], it[good], shift[good]]), axis=1)
-            out: list[tuple[int, int]] = []
-            done = (-1, -1)
-            for d, k, sh in cases.T:
-                if (d, k) == done:
-                    continue
-                w, text = words_of[k], words[off[d] : off[d + 1]]
-                lo = max(0, -sh)
-                hi = min(len(w), len(text) - sh)
-                if holds(w[lo:hi] == text[lo + sh : hi + sh]):
-                    done = (d, k)
-                    out.append((doc_ids[d], ids[k]))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["doc_id", "item_id"])
+            n, done, ends = count[at[pos]], 0, np.cumsum(count[at[pos]])
+            parts = [np.empty((3, 0), np.int64)]
+            while done < len(pos):  # a passage that many items share multiplies its matches
+                upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + AT_ONCE, side="right")))
+                m, p = n[done:upto], pos[done:upto]
+                which = np.repeat(start[at[p]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                p, d = np.repeat(p, m), np.repeat(doc[done:upto], m)
+                it, shift = item[which], p - (off[d] - base) - place[which]
+                # positional bound: the overlap of item and document at this shift must hold a window
+                overlap = np.minimum(off[d + 1] - off[d] - shift, lengths[it]) - np.maximum(-shift, 0)
+                parts.append(np.unique(np.stack([d, it, shift])[:, overlap >= WINDOW], axis=1))
+                done = upto
+            cases = np.unique(np.concatenate(parts, axis=1), axis=1)
+            found = np.unique(cases[:2, verified(words, off, *cases)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids[found[0]].astype(np.int64)), pa.array(ids[found[1]])], names=["doc_id", "item_id"])
 
     return docs.mapInArrow(search, "doc_id bigint, item_id bigint")
 
@@ -163,9 +184,12 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOC
     The held-out items are the query set and meet all documents in blocks of at most ``block_words`` words. Within a
     block their shingles are ordered by rarity in the whole corpus, only those in the prefix of a 20-word window are
     joined, length and position bound the candidates, and every candidate is verified word by word along its shift.
-    Items and documents of fewer than 20 words, empty ones and nulls have no rows; repeated rows give one.
+    Items and documents of fewer than 20 words, empty ones and nulls have no rows; repeated rows give one. Texts are cleaned
+    and hashed once, into a table in the shared folder, however many blocks there are.
     """
-    docs = documents.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words"))
+    spark, stored = documents.sparkSession, scratch(documents.sparkSession, "words")
+    documents.where("doc_id is not null").select("doc_id", word_hashes(F.col("text")).alias("words")).write.parquet(stored)
+    docs = spark.read.parquet(stored)
     query = items.where("item_id is not null").select("item_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= WINDOW).distinct()
     found: list[DataFrame] = []
     block: list[tuple[int, np.ndarray]] = []

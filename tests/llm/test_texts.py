@@ -200,7 +200,7 @@ def brute_leaks(docs, items):
     return {(d, i) for d, t in docs for i, q in items if len(q) >= 20 and has(t, q)}
 
 
-def test_leaks_equal_brute_force(spark):
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     vocab = [f"w{i}" for i in range(60)]
     items = [(i, [rng.choice(vocab) for _ in range(rng.randint(15, 60))]) for i in range(12)]
@@ -221,6 +221,21 @@ def test_leaks_equal_brute_force(spark):
     assert 30 < len(want)
     assert set(map(tuple, leaks.leaked_items(ddf, idf).collect())) == want
     assert set(map(tuple, leaks.leaked_items(ddf, idf, block_words=100).collect())) == want
+    monkeypatch.setattr(leaks, "AT_ONCE", 50)
+    assert set(map(tuple, leaks.leaked_items(ddf, idf).collect())) == want
+
+
+def test_runs_of_aligned_words_equal_brute_force():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 70, 400)
+    rows = [rng.random(n) < rng.choice([0.8, 0.9, 0.95]) for n in sizes]
+
+    def brute(row):
+        return any(10 * (~row[i:j]).sum() <= j - i for i in range(len(row)) for j in range(i + 20, len(row) + 1))
+
+    want = [brute(r) for r in rows]
+    assert 50 < sum(want) < 350
+    assert leaks.holding(np.concatenate(rows), sizes).tolist() == want
 
 
 def test_leak_edges(spark):
