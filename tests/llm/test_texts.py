@@ -153,23 +153,46 @@ def test_language_edges(spark, small, lines):
     assert languages.label_cases(df.limit(0), samples).count() == 0
 
 
-def test_packing(spark):
-    rng = random.Random(3)
-    sizes = [rng.randint(1, 300) for _ in range(2000)] + [256] * 5
-    boxes = packing.harmonic([min(s, 256) for s in sizes], 256)
-    load = Counter()
-    for s, b in zip(sizes, boxes, strict=True):
-        load[b] += min(s, 256)
-    assert max(load.values()) <= 256 and sum(load.values()) / (256 * len(load)) > 0.95
-    assert packing.harmonic([], 10) == [] and packing.harmonic([5, 5, 5], 10) in ([0, 0, 1], [1, 0, 0], [0, 1, 0])
+def loads(sizes, boxes):
+    load, count = Counter(), Counter()
+    for n, b in zip(sizes, boxes.tolist(), strict=True):
+        load[b] += n
+        count[b] += 1
+    return load, count
+
+
+@pytest.mark.parametrize("capacity", [1, 2, 7, 64, 256, 2048, 8192])
+def test_packing(capacity):
+    rng = np.random.default_rng(3)
+    for sizes in (rng.integers(1, capacity + 1, 5000), np.minimum(capacity, np.maximum(1, rng.lognormal(5.5, 0.5, 5000).astype(int))), np.full(70, 1), np.full(70, capacity), np.array([], int)):
+        for refined in (True, False):
+            boxes = packing.harmonic(sizes, capacity, refined)
+            load, count = loads(sizes.tolist(), boxes)
+            assert not load or max(load.values()) <= capacity and set(load) == set(range(len(load)))
+    sizes = np.full(1000, max(1, capacity // 3))
+    _, count = loads(sizes.tolist(), packing.harmonic(sizes, capacity, False))
+    if capacity in (64, 256):  # a fixed count in all containers of a class but the last
+        assert Counter(count.values())[capacity // (capacity // 3)] >= len(count) - 1
+
+
+def test_packing_leaves_little_unused():
+    rng = np.random.default_rng(5)
+    sizes = np.clip(rng.lognormal(5.6, 0.5, 50_000).astype(int), 1, None)
+    for capacity in (512, 2048, 8192):
+        items = sizes[sizes < capacity]
+        used = items.sum() / capacity
+        assert used / (packing.harmonic(items, capacity).max() + 1) > 0.95
+        assert used / (packing.harmonic(items, capacity, False).max() + 1) < used / (packing.harmonic(items, capacity).max() + 1)
 
 
 def test_packing_operator(spark):
     text = "the moon rises over the hill and the river sings. "
-    docs = spark.createDataFrame([(i, text * (i % 9)) for i in range(60)] + [(100, text * 400), (101, None), (102, "")], "doc_id bigint, text string").withColumn("tokens", F.lit("clash"))
+    docs = spark.createDataFrame([(i, text * (i % 9)) for i in range(60)] + [(100, text * 400), (101, None), (102, ""), (3, text * 3), (None, text)], "doc_id bigint, text string").withColumn("tokens", F.lit("clash"))
     targets = spark.createDataFrame([(1, 64), (2, 512), (3, None), (4, 0)], "target_id bigint, capacity_tokens bigint")
     rows = packing.packed(docs, targets, shard_rows=20).collect()
     lengths = {r.doc_id: r.tokens for r in packing.token_lengths(docs).collect()}
+    fill = {(r.method, r.target_id): r for r in packing.fill(docs, targets).collect()}
+    assert set(fill) == {("refined", 1), ("refined", 2), ("plain", 1), ("plain", 2)} and all(r.tokens == sum(lengths.values()) and r.unused >= 0 for r in fill.values())
     caps = {1: 64, 2: 512}
     load, parts = Counter(), defaultdict(list)
     for r in rows:
