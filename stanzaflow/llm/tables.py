@@ -15,12 +15,14 @@ OTHER_HEADINGS = (
 )
 
 _INLINE = rf"\[\s*{CHORD}\s*\]"
-_DIRECTIVE = r"(?m)^[ \t]*\{[^{}\n]*\}[ \t]*$\n?"
-_CHORD_LINE = rf"(?m)^[ \t|/.\-]*+(?:\[?{CHORD}\]?(?=[ \t|/.\-\]]|$)[ \t|/.\-]*+)++$\n?"
+_DIRECTIVE = r"[ \t]*\{[^{}\n]*\}[ \t]*"
+_CHORD_LINE = rf"[ \t|/.\-]*+(?:\[?{CHORD}\]?(?=[ \t|/.\-\]]|$)[ \t|/.\-]*+)++"
 _NAMED = rf"(?:{HEADINGS}|{OTHER_HEADINGS})"
-_HEADING = rf"(?miu)^[ \t]*+(?:\[[ \t]*{_NAMED}[ \t]*\d*[ \t]*\]|{_NAMED}[ \t]*\d*[ \t]*:|(?:verse|chorus|bridge|refrain|tag|ending|outro|intro|v|c|{OTHER_HEADINGS})[ \t]*\d*|\d[ \t]*절:?)[ \t]*$\n?"
+_HEADING = rf"(?iu:[ \t]*+(?:\[[ \t]*{_NAMED}[ \t]*\d*[ \t]*\]|{_NAMED}[ \t]*\d*[ \t]*:|(?:verse|chorus|bridge|refrain|tag|ending|outro|intro|v|c|{OTHER_HEADINGS})[ \t]*\d*|\d[ \t]*절:?)[ \t]*)"
+#: Lines that are not sung, taken out in one pass.
+_UNSUNG = rf"(?m)^(?:{_DIRECTIVE}|{_CHORD_LINE}|{_HEADING})$\n?"
 _MARK = r"(?:[x×](?<![\p{L}\p{M}\p{N}].) ?\d++|\d(?<![\p{L}\p{M}\p{N}].)\d*+ ?[x×])(?![\p{L}\p{M}\p{N}'’-])"
-_REPEAT = rf"(?i)\([ \t]*(?:{_MARK}|bis|repeat[^()\n]*)[ \t]*\)|\[[ \t]*(?:{_MARK}|bis|repeat[^\[\]\n]*)[ \t]*\]|\|:|:\||{_MARK}"
+_REPEAT = rf"(?i)(?=[(\[|:x×\d])(?:\([ \t]*(?:{_MARK}|bis|repeat[^()\n]*)[ \t]*\)|\[[ \t]*(?:{_MARK}|bis|repeat[^\[\]\n]*)[ \t]*\]|\|:|:\||{_MARK})"
 
 
 def sung_text(text: Column) -> Column:
@@ -29,9 +31,7 @@ def sung_text(text: Column) -> Column:
     Null is empty. Blank lines stay, so sections can still be told apart.
     """
     t = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, _DIRECTIVE, "")
-    t = F.regexp_replace(t, _CHORD_LINE, "")
-    t = F.regexp_replace(t, _HEADING, "")
+    t = F.regexp_replace(t, _UNSUNG, "")
     t = F.regexp_replace(t, _INLINE, "")
     return F.regexp_replace(t, _REPEAT, " ")
 
@@ -39,10 +39,8 @@ def sung_text(text: Column) -> Column:
 def plain_words(text: Column) -> Column:
     """Lower-case words of sung text: apostrophes join, all other characters but letters, marks and digits separate."""
     t = F.lower(sung_text(text))
-    for mark in "'’‘`´":
-        t = F.replace(t, F.lit(mark), F.lit(""))
-    t = F.regexp_replace(t, r",(?=\d)(?<=\d,)", "")
-    return F.array_remove(F.split(F.regexp_replace(t, r"[^\p{L}\p{M}\p{N}]+", " "), " "), "")
+    t = F.regexp_replace(t, r"['’‘`´]|,(?=\d)(?<=\d,)", "")
+    return F.array_remove(F.split(t, r"[^\p{L}\p{M}\p{N}]+"), "")
 
 
 def word_hashes(text: Column) -> Column:
