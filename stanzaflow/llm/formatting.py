@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.operators.bitmap import bitmap_filter
-from stanzaflow.operators.skew import HOT_KEYS, HOT_ROWS, materialize, once, skew_join
+from stanzaflow.operators.skew import HOT_ROWS, hottest, materialize, once, skew_join
 
 #: Letters whose counts make up the histogram: frequent ones of the scripts that occur.
 HISTOGRAM = ["e", "a", "t", "o", "i", "s", "l", "о", "а", "и", "י", "ה"]
@@ -54,7 +54,7 @@ def copy_keys(songs: DataFrame) -> DataFrame:
     rows = with_cheap_class(rows)
     counted = rows.groupBy("class").agg(F.min("song_index").alias("lo"), F.max("song_index").alias("hi"), F.count(F.lit(1)).alias("n"))
     several = materialize(counted.where("class is not null and lo < hi").select("class", "n"))
-    hot = [r["class"] for r in several.where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+    hot = hottest(several.select(F.col("class").alias("k"), "n"), HOT_ROWS)
     several = several.select("class")
     likely = bitmap_filter(rows, "class", several)
     text = F.concat_ws("\u0001", title_words(F.col("title")), F.concat_ws("\u0002", section_keys(F.col("plain_lyrics"))))
