@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +87,5 @@ def build(spark: SparkSession, roots: dict[str, str], out: str, config: RunConfi
         exported = sinks.write_files(lines, out, "export_path", "export_text")
     counts = {r["class"]: r["groups"] for r in catalog.class_counts(classified).collect()}
     summary = {"source_count": songs.count(), "group_count": sum(counts.values()), "exported_count": exported, "classification_counts": counts, "title_lyric_conflicts": conflicts.count(), "dry_run": config.dry_run}
-    os.makedirs(os.path.join(out, "reports"), exist_ok=True)
-    with open(os.path.join(out, "reports", "run_summary.json"), "w", encoding="utf-8") as f:
-        json.dump(summary, f, indent=2)
+    sinks.write_text(spark, f"{out}/reports/run_summary.json", json.dumps(summary, indent=2))
     return summary

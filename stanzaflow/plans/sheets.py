@@ -58,6 +58,20 @@ ag AS (SELECT {key}, {fields}, coalesce(sum({S.count_chords('x')}) FILTER (sung)
 SELECT {key}, {', '.join(f'{made[c]} AS {c}' for c in columns)} FROM (SELECT {key}, path, {", ".join(f"coalesce({f}_, '') AS {f}_" for f in P.FIELDS)}, coalesce(chord_count, 0) AS chord_count, coalesce(plain_lyrics, '') AS plain_lyrics, coalesce(body, '') AS body FROM sh LEFT JOIN ag USING ({key}))"""
 
 
+def chords_sql(key: str, source: str) -> str:
+    """Lines of the sheets of ``source`` with section, label, words and chords, as ``ch``."""
+    bare, meta = S.trim("raw"), S.q(P.META)
+    get = lambda i: S.trim(f"regexp_extract({bare}, {meta}, {i})")
+    inner, outside = f"regexp_extract_all(raw, {S.q(P.BRACKET)}, 1)", f"regexp_split_to_array(raw, {S.q(P.BRACKET)})"
+    return f"""WITH {source}, cl AS (SELECT {key}, {S.lines('text')} AS l FROM sh), cr AS (SELECT {key}, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM cl),
+cm AS (SELECT {key}, pos, CASE WHEN {bare} = '' THEN '' ELSE raw END AS raw, regexp_matches({bare}, {meta}) AS meta, lower({get(1)}) AS name, {get(2)} AS value FROM cr),
+co AS (SELECT *, count(*) FILTER (meta AND name IN ({S.names(P.MARKS)})) OVER (PARTITION BY {key} ORDER BY pos) AS part FROM cm),
+cv AS (SELECT {key}, part, value AS label FROM co WHERE meta AND name IN ({S.names(P.MARKS)})),
+cx AS (SELECT {key}, part, (dense_rank() OVER (PARTITION BY {key} ORDER BY part) - 1)::int AS section, (row_number() OVER (PARTITION BY {key}, part ORDER BY pos) - 1)::int AS line, {inner} AS i, {outside} AS o FROM co WHERE NOT meta),
+ch AS (SELECT {key}, section, label, line, {S.re("array_to_string(o, '')", f'[{S.WS}]+$')} AS words,
+    list_filter(list_transform(range(1, len(i) + 1), lambda k: {{'text': {S.trim('i[k]')}, 'offset': length(array_to_string(o[1:k], ''))}}), lambda c: c.text <> '') AS chords FROM cx LEFT JOIN cv USING ({key}, part))"""
+
+
 _SHOWN = ["title", "artist", "key", "tempo", "copyright", "chord_count", "has_chords", "plain_lyrics", "chordpro_body"]
 
 
@@ -144,7 +158,16 @@ def agg9_presentation(spark, d):
 
 
 _MARK = S.section_code(S.trim("regexp_extract(x, '^\\s*\\{(?:comment|c|section)\\s*:\\s*(.*?)\\}\\s*$', 1)"))
+_SUFFIX = "lower(regexp_extract(path, '(\\.[^./]+)$', 1)) = '.xml'"
+_NEW_LINES = f"list_filter(list_transform({S.lines('plain_lyrics')}, lambda y: {S.lyric_line('y')}), lambda y: {S.meaningful('y')})"
 ORACLE = {
+    "par6_dispatch": f"""WITH p AS ({_parse_sql(_sheets_sql(), "song_index", ["title"])}), g AS (SELECT DISTINCT ON (song_index) song_index, source_path AS path, title AS raw FROM songs)
+SELECT song_index, CASE WHEN {_SUFFIX} THEN {S.norm_space(S.re(S.text('raw'), '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B' + chr(92) + 'x0C' + chr(92) + 'x0E-' + chr(92) + 'x1F]'))} ELSE title END AS title, 'ok' AS parse_status FROM p JOIN g USING (song_index)""",
+    "par9_sections": chords_sql("song_index", _sheets_sql()) + " SELECT song_index, section, label, line, words, to_json(chords)::varchar AS chords FROM ch",
+    "par10_chord_positions": chords_sql("doc_id", "sh AS (SELECT doc_id, text FROM documents)") + " SELECT doc_id, section, line, c.text AS chord, c.offset::int AS at FROM (SELECT doc_id, section, line, unnest(chords) AS c FROM ch)",
+    "par14_song_rows": f"""WITH p AS ({_parse_sql(_DOC_SQL, "doc_id", ["title", "plain_lyrics"])}), t AS (SELECT *, {S.tokens(S.lyric('plain_lyrics'))} AS t FROM p)
+SELECT 'sheets/' || doc_id || '_a-sheet.cho' AS path, title, {S.title('title')} AS normalized_title, len(list_distinct({_NEW_LINES}))::int AS line_count,
+    len(list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i+4], ' '))))::int AS shingles FROM t""",
     "par2_chordpro_songs": _parse_sql(_sheets_sql(), "song_index", _SHOWN),
     "par2_chordpro_documents": _parse_sql(_DOC_SQL, "doc_id", ["title", "tempo", "key", "chord_count", "plain_lyrics"]),
     "par8_chord_name": _chord_sql(),

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stanzaflow.functions import text as T
 from stanzaflow.operators import blocking as B
 from stanzaflow.operators import catalog as C
-from stanzaflow.operators.skew import materialize
+from stanzaflow.operators.skew import materialize, once
 from stanzaflow.plans import sql as S
 from stanzaflow.plans.catalogue import _CLASS_SQL, _classified, _members
 from stanzaflow.plans.pairs import _KEYS_SQL, SCORES_SQL, SONGS_SQL, scores_of, songs_of
 from stanzaflow.plans.reviewing import _TX, dif2_positional
-from stanzaflow.plans.sheets import _sheets_sql, sheets_of, xml_of
+from stanzaflow.plans.sheets import _sheets_sql, chords_sql, sheets_of, xml_of
 from stanzaflow.plans.smaller import _mapped
 from stanzaflow.sources import chordpro as P
 from stanzaflow.sources import openlyrics as X
@@ -36,23 +35,24 @@ def set2_pairs_by_index(spark, d):
 
 
 def win3_header_lines(spark, d):
-    """Lines of a sheet with whether they are still in its header: no line of content came before."""
-    rows = sheets_of(spark, d).select("song_index", F.posexplode(T.lines(_c("text"))).alias("pos", "line"))
-    s = T.trim(_c("line"))
-    content = (s != "") & (F.regexp_extract(s, P.DIRECTIVE, 1) == "") & T.bare_metadata(s).isNull()
-    before = Window.partitionBy("song_index").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("content", content).select("song_index", "pos", (~F.coalesce(F.max("content").over(before), F.lit(False))).alias("header"))
+    """Lines of a sheet with whether they are still in its header: no line of content came before. Nothing is shuffled."""
+
+    def content(x):
+        return T.bind(T.trim(x), lambda s: (s != "") & (F.regexp_extract(s, P.DIRECTIVE, 1) == "") & T.bare_metadata(s).isNull())
+
+    rows = once(sheets_of(spark, d), "c", F.array_position(F.transform(T.lines(_c("text")), content), F.lit(True)))
+    return rows.select("song_index", "c", F.posexplode(T.lines(_c("text"))).alias("pos", "line")).select("song_index", "pos", ((_c("c") == 0) | (_c("pos") < _c("c"))).alias("header"))
 
 
 _COMMENT = r"^\s*\{(?:comment|c|section)\s*:\s*(.*?)\}\s*$"
 
 
 def win4_section_runs(spark, d):
-    """Lines of a document with the number of the section that they are in; a section mark starts the next."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(_c("text"))).alias("pos", "line"))
-    mark = F.regexp_extract("line", _COMMENT, 1) != ""
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("mark", mark.cast("bigint")).select("doc_id", "pos", F.sum("mark").over(upto).alias("section"))
+    """Lines of a document with the number of the section that they are in; a section mark starts the next. Nothing is shuffled."""
+    rows = table(spark, d, "documents").select("doc_id", T.lines(_c("text")).alias("l"))
+    marks = F.filter(F.transform("l", lambda x, i: F.when(F.regexp_extract(x, _COMMENT, 1) != "", i)), lambda x: x.isNotNull())
+    rows = once(rows, "m", marks).select("doc_id", "m", F.posexplode("l").alias("pos", "line"))
+    return rows.select("doc_id", "pos", F.size(F.filter("m", lambda x: x <= _c("pos"))).cast("bigint").alias("section"))
 
 
 def win5_first_seen(spark, d):
@@ -65,9 +65,17 @@ def srt3_sorted_chords(spark, d):
 
 
 def snk6_chord_rows(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.lines(_c("text"))).alias("pos", "line")).where(F.contains("line", F.lit("[")))
-    keyed = rows.withColumn("k", F.concat_ws("-", _c("doc_id").cast("string"), _c("pos").cast("string")))
-    return _mapped(keyed, "k", lambda x: P.chord_row(*P.split_chords(x)), ["line"], "string")
+    """The row of chords over every line that has some."""
+    rows = P.with_chord_offsets(table(spark, d, "documents"), "doc_id", "text").where(F.size("chords") > 0)
+    keyed = rows.select(F.concat_ws("-", "doc_id", "section", "line").alias("k"), F.to_json(F.struct("words", "chords")).alias("line"))
+
+    def over(line: str) -> str:
+        import json
+
+        parts = json.loads(line)
+        return P.chord_row(parts["words"], [(c["text"], c["offset"]) for c in parts["chords"]])
+
+    return _mapped(keyed, "k", over, ["line"], "string")
 
 
 def par3_mixed_lines(spark, d):
@@ -140,6 +148,7 @@ SELECT song_index, pos, NOT coalesce(bool_or(content) OVER (PARTITION BY song_in
 _STATUS = ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ("equal", "metadata", "chord_change", "changed", "a_only", "b_only"))
 _H = f"WITH {SONGS_SQL}, {SCORES_SQL}"
 ORACLE = {
+    "srt3_sorted_chords": chords_sql("doc_id", "sh AS (SELECT doc_id, text FROM documents)") + " SELECT doc_id, section, line, array_to_string(list_transform(list_sort(list_transform(chords, lambda c: {'o': c.offset, 't': c.text})), lambda c: c.t), ' ') AS chords FROM ch WHERE len(chords) > 0",
     "fil5_kept_buckets": _KEYS_SQL + " SELECT kind, key, n FROM bk WHERE n BETWEEN 2 AND cap",
     "set2_pairs_by_index": _KEYS_SQL + " SELECT kind, count(*) AS pairs FROM (SELECT DISTINCT kind, x.a, y.b FROM (SELECT kind, key, id AS a FROM ky JOIN kp USING (kind, key)) x JOIN (SELECT kind, key, id AS b FROM ky JOIN kp USING (kind, key)) y USING (kind, key) WHERE x.a < y.b) GROUP BY kind",
     "win3_header_lines": _header_sql(),
@@ -153,4 +162,4 @@ ORACLE = {
     "rem4_sides": _H + " SELECT a, b, 'A' AS marker, source_repo, title, source_path FROM sc JOIN sg ON a = song_index UNION ALL SELECT a, b, 'B', source_repo, title, source_path FROM sc JOIN sg ON b = song_index",
     "rem9_title_lookups": f"WITH {SONGS_SQL}, t AS (SELECT title, {S.title('title')} AS n FROM sg WHERE title <> ''), u AS (SELECT * FROM t WHERE n <> '') SELECT title, count(*) AS exact, any_value(m) AS normalised FROM u JOIN (SELECT n, count(*) AS m FROM u GROUP BY 1) USING (n) GROUP BY title",
 }
-QUERIES = {k: globals()[k] for k in [*ORACLE, "srt3_sorted_chords", "snk6_chord_rows", "par3_mixed_lines"]}
+QUERIES = {k: globals()[k] for k in [*ORACLE, "snk6_chord_rows", "par3_mixed_lines"]}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import json
+import logging
+import posixpath
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,27 +18,41 @@ SUFFIXES = {"openlyrics": [".xml"], "onsong": [".onsong", ".txt", ".chopro", ".c
 LISTING = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists on the file system that its scheme names, local, HDFS or an object store."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _suffix_glob(suffixes: list[str]) -> str:
+    """Names that end in one of the suffixes, in any case."""
+    folded = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes]
+    return "*{" + ",".join(folded) + "}"
+
+
 def discover(spark: SparkSession, roots: list[tuple[str, str, str]], content: bool = True) -> DataFrame:
     """(song_index, source_repo, source_format, path, size, modified, content) of the files of (root, repo, format).
 
-    The index follows the order of the roots and the path within each. A root that does not exist gives no files.
-    Without ``content`` only metadata is read.
+    A root is a path or URI of any file system that Spark reads. The index follows the order of the roots and the path
+    within each. A root that does not exist gives no files and a warning in the log. Only files with the suffixes of the
+    format are opened; without ``content`` none is.
     """
     parts = []
     for n, (root, repo, kind) in enumerate(roots):
-        if not os.path.isdir(root):
+        if not exists(spark, root):
+            logging.getLogger(__name__).warning("source root %s of %s does not exist", root, repo)
             continue
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        wanted = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(SUFFIXES[kind])
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _suffix_glob(SUFFIXES[kind])).load(root)
         cols = [F.lit(n).alias("root"), F.lit(repo).alias("source_repo"), F.lit(kind).alias("source_format"), "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")]
-        parts.append(files.where(wanted).select(*cols, *(["content"] if content else [])))
+        parts.append(files.select(*cols, *(["content"] if content else [])))
     if not parts:
         return spark.createDataFrame([], "song_index bigint, source_repo string, source_format string, path string, size bigint, modified timestamp" + (", content binary" if content else ""))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    ids = global_rank(every.select(F.format_string("%04d|%s", "root", "path").alias("_order")), "_order", "n").select("_order", (F.col("n") - 1).alias("song_index"))
-    rows = every.withColumn("_order", F.format_string("%04d|%s", "root", "path")).join(ids, "_order")
+    order = F.format_string("%04d|%s", "root", "path")
+    ids = global_rank(every.select(order.alias("_order")), "_order", "n").select("_order", (F.col("n") - 1).alias("song_index"))
+    rows = every.withColumn("_order", order).join(ids, "_order")
     return rows.select("song_index", "source_repo", "source_format", "path", "size", "modified", *(["content"] if content else []))
 
 
@@ -84,8 +100,7 @@ def content_hash(content: str = "content"):
 def read_report(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV report with a header, all columns text; an absent file is an empty report. A byte order mark is dropped."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', enforceSchema=False)
     rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns])
@@ -108,9 +123,8 @@ def orphan_exports(exports: DataFrame, report: DataFrame, path: str = "export_pa
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     """(group_id, decision) of a JSON list of decisions; of repeated groups the last counts. Absent or broken files are empty."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     empty = spark.createDataFrame([], "group_id string, decision string")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, path):
         return empty
     text = spark.read.text(path, wholetext=True)
     rows = text.select(F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("place", "d"))
@@ -118,11 +132,22 @@ def read_decisions(spark: SparkSession, path: str) -> DataFrame:
     return last.select("group_id", F.to_json("d").alias("decision"))
 
 
-def resolve_path(out_dir: str, path: str) -> str:
+def resolve_path(spark: SparkSession, out_dir: str, path: str) -> str:
     """Where a path of a report is: as it stands if absolute or present, else below the output folder or its parent."""
-    if os.path.isabs(path) or os.path.exists(path):
+    if path.startswith("/") or "://" in path or not path or exists(spark, path):
         return path
-    parts = path.split(os.sep)
-    if parts and parts[0] == os.path.basename(os.path.normpath(out_dir)):
-        return os.path.join(os.path.dirname(os.path.normpath(out_dir)), path)
-    return os.path.join(out_dir, path)
+    out = out_dir.rstrip("/")
+    if path.split("/")[0] == posixpath.basename(out):
+        return f"{posixpath.dirname(out)}/{path}" if "/" in out else path
+    return f"{out}/{path}"
+
+
+def read_summary(spark: SparkSession, path: str) -> dict:
+    """The summary of a run; an absent or broken one is empty."""
+    if not exists(spark, path):
+        return {}
+    try:
+        found = json.loads("".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))  # one small file
+    except json.JSONDecodeError:
+        return {}
+    return found if isinstance(found, dict) else {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,26 +19,38 @@ def write_report(df: DataFrame, path: str, columns: list[str]) -> None:
 def write_files(df: DataFrame, folder: str, name: str, text: str) -> int:
     """Write each row's text to its own file below a shared folder; returns how many. A file that is there is replaced.
 
-    Files are written where the rows lie. The write goes to another name first, so a lost task leaves no half file.
+    ``folder`` is a path or a URI that Arrow's file systems know (file, hdfs, s3, gs). Files are written where the rows lie.
+    The write goes to another name first, so a lost task leaves no half file.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        import posixpath
         import uuid
 
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         for b in batches:
             for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                target = os.path.join(folder, n)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                target = posixpath.join(base, n)
+                where.create_dir(posixpath.dirname(target), recursive=True)
                 part = f"{target}.{uuid.uuid4().hex}"
-                with open(part, "w", encoding="utf-8", newline="") as f:
-                    f.write(t or "")
-                os.replace(part, target)
+                with where.open_output_stream(part) as f:
+                    f.write((t or "").encode())
+                where.move(part, target)
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
     return df.select(name, text).mapInArrow(write, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file on the file system that its path names, replacing it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str], latest: Column | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same key, for writing to a new version.
 

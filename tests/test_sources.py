@@ -22,14 +22,20 @@ def test_sheet(spark):
     assert (rows[2].title, rows[2].plain_lyrics, rows[2].chord_count) == ("no title", "", 0)
 
 
-def test_opensong():
-    assert chordpro.split_chords("[G]Hel[Am]lo ") == ("Hello", [("G", 0), ("Am", 3)])
+def test_opensong(spark):
     assert chordpro.chord_row("Hello", [("G", 0), ("Am", 0), ("C", 4)]) == ".GAm C"
     text = "{title: T}\n{c: Verse 1}\n[G]Hi\n\n\n{c: Chorus}\nLa\n{c: Chorus}\nLo"
-    fields, parts = chordpro.sheet_sections(text)
-    assert chordpro.opensong_lyrics(parts) == ("[V1]\n.G\n Hi\n\n[C]\n La\n Lo", "V1 C")
-    root = ET.fromstring(chordpro.opensong_xml(text, "u", "t"))
-    assert [e.tag for e in root] == chordpro.OPENSONG and root.findtext("title") == "T" and root.findtext("uuid") == "u"
+    rows = [(1, text, "clash"), (2, None, ""), (3, "", ""), (4, "[G]Hel[Am]lo \n{key: [Bb]}\n{key: C}\n{composer: A}\n{author: B}\n{c: empty}\n{section: End}\nx[ ]y[" + "z" * 40 + "]", ""), (5, "[A]é𝄞[B]b", "")]
+    df = spark.createDataFrame(rows, "id int, text string, sections string")
+    made = {r.id: r for r in chordpro.with_opensong(df, "id", "text").collect()}
+    root = ET.fromstring(made[1].xml)
+    assert [e.tag for e in root] == chordpro.OPENSONG and root.findtext("title") == "T"
+    assert (root.findtext("lyrics"), root.findtext("presentation")) == ("[V1]\n.G\n Hi\n\n[C]\n La\n Lo", "V1 C")
+    assert ET.fromstring(made[2].xml).findtext("title") == "Untitled" and made[3].error is None
+    assert (ET.fromstring(made[4].xml).findtext("key"), ET.fromstring(made[4].xml).findtext("author")) == ("Bb", "B")
+    at = {(r.id, r.section, r.line): (r.label, r.words, [tuple(c) for c in r.chords]) for r in chordpro.with_chord_offsets(df, "id", "text").collect()}
+    assert at[4, 0, 0] == (None, "Hello", [("G", 0), ("Am", 3)]) and at[4, 1, 0] == ("End", "xy[" + "z" * 40 + "]", [])
+    assert at[5, 0, 0][2] == [("A", 0), ("B", 2)] and [k for k in at if k[0] in (2, 3)] == []
 
 
 XML = """<song xmlns="urn:x"><properties><titles><title lang="en">A  Song</title></titles><authors><author>Ann</author></authors></properties><lyrics>
@@ -66,6 +72,9 @@ def test_discovery_reports_and_decisions(spark, tmp_path):
     assert got == [(0, "repo_a", "b.xml"), (1, "repo_a", "a.XML"), (2, "repo_b", "z.onsong")]
     assert {r.text for r in files.decoded(found).collect()} == {"x", "café"}
     assert files.discover(spark, roots[2:]).count() == 0
+    as_uri = [(f"file://{r}", repo, kind) for r, repo, kind in roots]
+    assert [r.path for r in files.discover(spark, as_uri).orderBy("song_index").collect()] == [r.path for r in found.orderBy("song_index").collect()]
+    assert [(r.name, r.place) for r in files.xml_listing(spark, str(tmp_path / "a")).collect()] == [("b.xml", 1)]
     df = spark.createDataFrame([("G1", 'a "b", c\nd', True), ("G2", None, False)], "group_id string, title string, flag boolean")
     sinks.write_report(df, str(tmp_path / "r"), ["group_id", "title", "flag"])
     back = files.read_report(spark, str(tmp_path / "r"), ["group_id", "title", "flag", "more"]).orderBy("group_id").collect()
@@ -76,6 +85,19 @@ def test_discovery_reports_and_decisions(spark, tmp_path):
     assert files.read_decisions(spark, str(tmp_path / "nope.json")).count() == 0
     n = sinks.write_files(spark.createDataFrame([("x/1.cho", "é"), ("2.cho", None)], "n string, t string"), str(tmp_path / "out"), "n", "t")
     assert n == 2 and (tmp_path / "out/x/1.cho").read_text() == "é"
+    n = sinks.write_files(spark.createDataFrame([("x/1.cho", "new")], "n string, t string"), f"file://{tmp_path}/out", "n", "t")
+    assert n == 1 and (tmp_path / "out/x/1.cho").read_text() == "new"
+    sinks.write_text(spark, f"file://{tmp_path}/out/reports/s.json", '{"source_count": 3}')
+    assert files.read_summary(spark, f"{tmp_path}/out/reports/s.json") == {"source_count": 3}
+    assert files.read_summary(spark, f"{tmp_path}/none.json") == {} and files.read_summary(spark, str(tmp_path / "out/x/1.cho")) == {}
+
+
+def test_paths_of_reports(spark, tmp_path):
+    (tmp_path / "out" / "01").mkdir(parents=True)
+    out = str(tmp_path / "out")
+    assert files.resolve_path(spark, out, "/abs/x") == "/abs/x" and files.resolve_path(spark, out, "hdfs://h/x") == "hdfs://h/x"
+    assert files.resolve_path(spark, out, "01/a.cho") == f"{out}/01/a.cho"
+    assert files.resolve_path(spark, out + "/", "out/01/a.cho") == f"{tmp_path}/out/01/a.cho"
 
 
 def test_replace_by_key(spark):
