@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of one bitmap of Spark's bitmap functions, and how many of them a filter has at most: 256 x 4 KB = 1 MB.
-BITS, BITMAPS = 32_768, 256
+#: Bits of one bitmap of Spark's bitmap functions, and how many of them a filter has, 256 x 4 KB = 1 MB, or at most.
+BITS, BITMAPS, MOST_BITMAPS = 32_768, 256, 4_096
+
+
+def bitmaps_for(rows: int) -> int:
+    """Bitmaps for so many wanted rows: 16 bits a row, from 1 MB to 16 MB; beyond 8 million rows it lets more pass."""
+    return max(BITMAPS, min(MOST_BITMAPS, -(-rows * 16 // BITS)))
 
 
 def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bitmaps: int = BITMAPS) -> DataFrame:

@@ -11,9 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.functions import text as T
+from stanzaflow.operators.changes import VersionedTable
 
 #: Above so many lines or cells a pair is marked as simplified, as in the reference; so many rows are kept for display.
 FULL_LINES, FULL_CELLS, RENDERED = 1200, 350_000, 900
+#: The row that stands for those cut from the display, and the version in the key of a kept result.
+CUT, VERSION = "... diff truncated ...", "diff.1"
+#: Songs of the same title whose likeness is below this may be separate songs.
+SEPARATE = 0.35
 _META, _CHORD = re.compile(T.REVIEW_META), re.compile(T.REVIEW_CHORD)
 
 
@@ -63,12 +68,14 @@ def _pair(a: str, b: str, split: bool) -> list[tuple[str, str, str]]:
     return [(a, "", "a_only"), ("", b, "b_only")] if split and status == "changed" else [(a, b, status)]
 
 
-def align(text_a: str, text_b: str, keep_changed: bool = False) -> dict:
-    """Aligned lines of two texts as (left, right, status), with likeness, counts and the side that looks partial.
+def align(text_a: str, text_b: str, classification: str = "") -> dict:
+    """Aligned lines of two texts as (left, right, status), with likeness, counts, summary and the side that looks partial.
 
-    Lines are aligned on their normalised form; a replaced line is one row with ``keep_changed``, else one row per side.
-    Very large texts are aligned as well; they are only marked as ``simplified``, since the reference compares them by
-    position. Likeness and counts are of all lines; ``lines`` is cut for display, ``row_count`` is not.
+    Lines are aligned on their normalised form; a replaced line is one row per side, or one row for songs classified as
+    ``lyric_match_title_different``. Songs classified as ``title_match_lyrics_different`` that are little alike may be
+    ``separate``. Very large texts are aligned as well; they are only marked as ``simplified``, since the reference
+    compares them by position. Likeness and counts are of all lines; ``lines`` is cut for display, with a row that says
+    so, and ``row_count`` is not.
     """
     a, b = (text_a or "").splitlines(), (text_b or "").splitlines()
     simple = len(a) + len(b) > FULL_LINES or len(a) * max(1, len(b)) > FULL_CELLS
@@ -84,30 +91,61 @@ def align(text_a: str, text_b: str, keep_changed: bool = False) -> dict:
             elif tag in ("delete", "insert"):
                 rows.append((left, right, "a_only" if tag == "delete" else "b_only"))
             else:
-                rows += _pair(left, right, not keep_changed)
+                rows += _pair(left, right, classification != "lyric_match_title_different")
     x, y = [n for n in map(_norm, a) if n], [n for n in map(_norm, b) if n]
     likeness = SequenceMatcher(None, "\n".join(x), "\n".join(y), autojunk=False).ratio()
     short = lambda p, q: len(p) <= max(2, int(len(q) * 0.55))
+    partial = "" if not x or not y else "A" if short(x, y) else "B" if short(y, x) else ""
+    chords, metadata = sum(s == "chord_change" for _, _, s in rows), sum(s == "metadata" and p != q for p, q, s in rows)
+    separate, cut = classification == "title_match_lyrics_different" and likeness < SEPARATE, len(rows) > RENDERED
+    notes = [f"Lyric similarity {likeness:.2f}", f"{chords} chord-only difference(s)", f"{metadata} metadata difference(s)"]
+    notes += [f"Source {partial} may be partial"] * bool(partial) + ["sources may be separate songs"] * separate + ["rendered diff truncated"] * cut
     return {
-        "lines": [{"left": p, "right": q, "status": s} for p, q, s in rows[:RENDERED]], "row_count": len(rows), "similarity": likeness, "chord_changes": sum(s == "chord_change" for _, _, s in rows),
-        "metadata_changes": sum(s == "metadata" and p != q for p, q, s in rows), "partial": "" if not x or not y else "A" if short(x, y) else "B" if short(y, x) else "", "simplified": simple, "truncated": len(rows) > RENDERED,
+        "lines": [{"left": p, "right": q, "status": s} for p, q, s in rows[:RENDERED] + [(CUT, CUT, "changed")] * cut], "row_count": len(rows), "similarity": likeness, "chord_changes": chords,
+        "metadata_changes": metadata, "partial": partial, "separate": separate, "summary": "; ".join(notes), "simplified": simple, "truncated": cut,
     }
 
 
-DIFF = "lines array<struct<left:string,right:string,status:string>>, row_count bigint, similarity double, chord_changes bigint, metadata_changes bigint, partial string, simplified boolean, truncated boolean"
+DIFF = "lines array<struct<left:string,right:string,status:string>>, row_count bigint, similarity double, chord_changes bigint, metadata_changes bigint, partial string, separate boolean, summary string, simplified boolean, truncated boolean"
 
 
-def song_diffs(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+_TYPES = {"lines": pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("status", pa.string())])), "row_count": pa.int64(), "similarity": pa.float64(), "chord_changes": pa.int64(), "metadata_changes": pa.int64(), "partial": pa.string(), "separate": pa.bool_(), "summary": pa.string(), "simplified": pa.bool_(), "truncated": pa.bool_()}
+
+
+def song_diffs(pairs: DataFrame, a: str, b: str, keys: list[str], classification: Column | None = None) -> DataFrame:
     """The alignment of every pair of texts, computed in Arrow batches spread evenly over tasks. Null text is empty."""
-    line = pa.list_(pa.struct([("left", pa.string()), ("right", pa.string()), ("status", pa.string())]))
-    types = [line, pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
-    names = ["lines", "row_count", "similarity", "chord_changes", "metadata_changes", "partial", "simplified", "truncated"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(keys)
-            done = [align(x, y) for x, y in zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *[pa.array([r[c] for r in done], t) for c, t in zip(names, types, strict=True)]], names=[*keys, *names])
+            texts = [batch.column(n + i).to_pylist() for i in range(3)]
+            done = [align(x, y, z or "") for x, y, z in zip(*texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(n)], *[pa.array([r[c] for r in done], t) for c, t in _TYPES.items()]], names=[*keys, *_TYPES])
 
     schema = ", ".join(f"{k} {t}" for k, t in pairs.select(*keys).dtypes)
-    return pairs.select(*keys, a, b).repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, *keys).mapInArrow(scan, f"{schema}, {DIFF}")
+    rows = pairs.select(*keys, a, b, (classification if classification is not None else F.lit("")).alias("_class"))
+    return rows.repartition(pairs.sparkSession.sparkContext.defaultParallelism * 4, *keys).mapInArrow(scan, f"{schema}, {DIFF}")
+
+
+def diff_key(a: Column, b: Column, classification: Column) -> Column:
+    """Key of a kept result: the hashes of both sources in pair order, the class of the pair and the version."""
+    return F.sha2(F.encode(F.concat_ws("|", a, b, classification, F.lit(VERSION)), "utf-8"), 256)
+
+
+def read_through(pairs: DataFrame, store: VersionedTable) -> DataFrame:
+    """Results of ``pairs`` (diff_key, a_text, b_text, classification) with ``cached``, computing only what the store lacks.
+
+    The store is a versioned table with key ``diff_key``; what is computed is one commit, so a run that fails leaves it as it was.
+    Pairs with the same key are computed once. Returns (diff_key, the columns of a result, cached), a row per different key.
+    """
+    wanted = pairs.where("diff_key is not null").groupBy("diff_key").agg(F.min(F.struct("a_text", "b_text", "classification")).alias("p")).select("diff_key", "p.*")
+    known = store.read()
+    missing = wanted if known is None else wanted.join(known.select("diff_key"), "diff_key", "left_anti")
+    before = store.version()
+    store.commit(added=song_diffs(missing, "a_text", "b_text", ["diff_key"], F.col("classification")))
+    fresh = store.changes(before)
+    rows = store.read().join(wanted.select("diff_key"), "diff_key", "left_semi") if store.state()["files"] else None
+    if rows is None:
+        return pairs.sparkSession.createDataFrame([], f"diff_key string, {DIFF}, cached boolean")
+    new = fresh.select("diff_key", F.lit(True).alias("_new")) if fresh is not None else None
+    return (rows.join(new, "diff_key", "left") if new is not None else rows.withColumn("_new", F.lit(None))).withColumn("cached", F.col("_new").isNull()).drop("_new")

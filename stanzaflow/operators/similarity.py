@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.functions.text import tokens
+from stanzaflow.operators.skew import hot_keys, skew_join
 
 # Thresholds and weights of the score.
 LINE_MATCH, STRONG, POSSIBLE = 0.82, 0.86, 0.65
@@ -41,19 +42,50 @@ def ratio(a: str, b: str) -> float:
 
 def line_score(a: str, b: str) -> float:
     """Likeness of two lines: alignment, or tokens of one contained in the other, the second way at a discount."""
-    if a == b:
-        return 1.0
-    x, y = set(a.split()), set(b.split())
+    return 1.0 if a == b else max(ratio(a, b), _token_score(set(a.split()), set(b.split())))
+
+
+def _token_score(x: set[str], y: set[str]) -> float:
     both = len(x & y)
-    return max(ratio(a, b), both / len(x) if x and y else 0.0, 0.95 * both / len(y) if x and y else 0.0)
+    return max(both / len(x), 0.95 * both / len(y)) if x and y else 0.0
 
 
 def coverage(a: list[str], b: list[str], least: float = LINE_MATCH) -> float:
-    """Share of the lines of ``a`` for which ``b`` has the same or a line of at least that likeness."""
+    """Share of the lines of ``a`` for which ``b`` has the same or a line of at least that likeness.
+
+    Lines are aligned only where neither their tokens decide nor two upper bounds of the alignment, its lengths and its
+    letters, exclude them; the bounds change no result.
+    """
     if not a or not b:
         return 0.0
     exact = set(b)
-    return sum(x in exact or any(line_score(x, y) >= least for y in b) for x in a) / len(a)
+    others = [(y, set(y.split())) for y in exact]
+    matcher = SequenceMatcher(None, autojunk=False)
+
+    def like(x: str) -> bool:
+        words = set(x.split())
+        if any(_token_score(words, ys) >= least for _, ys in others):
+            return True
+        for y, _ in others:
+            if x and y and 2.0 * min(len(x), len(y)) / (len(x) + len(y)) >= least:
+                matcher.set_seqs(x, y)
+                if matcher.quick_ratio() >= least and matcher.ratio() >= least:
+                    return True
+        return False
+
+    known = {x: x in exact or like(x) for x in set(a)}
+    return sum(known[x] for x in a) / len(a)
+
+
+def equal_lyrics(songs: DataFrame) -> DataFrame:
+    """(rep, song_index, same_title): every song whose normalised lyrics another song has, with the first of them.
+
+    One row per song, so a text that a third of all songs have gives no pairs and no task gathers them. Empty and null
+    lyrics equal nothing; a null title equals an empty one.
+    """
+    rows = songs.where("song_index is not null and normalized_lyrics <> ''").select("song_index", F.coalesce("normalized_title", F.lit("")).alias("title"), F.sha2("normalized_lyrics", 256).alias("class")).distinct()
+    first = rows.groupBy("class").agg(F.min(F.struct("song_index", "title")).alias("f"), F.max("song_index").alias("last")).where("f.song_index < last").select("class", "f")
+    return skew_join(rows, first, "class").where("song_index <> f.song_index").select(F.col("f.song_index").alias("rep"), "song_index", (F.col("title") == F.col("f.title")).alias("same_title"))
 
 
 def combine(df: DataFrame) -> DataFrame:
@@ -74,10 +106,47 @@ def combine(df: DataFrame) -> DataFrame:
 
 
 def pair_sides(pairs: DataFrame, songs: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs with the named columns of both songs, prefixed a_ and b_; pairs with an unknown song drop out."""
+    """Pairs with the named columns of both songs, prefixed a_ and b_; pairs with an unknown song drop out.
+
+    A song that is in very many pairs is met by a broadcast of its columns; the rest of the pairs are shuffled.
+    """
     one = songs.dropDuplicates(["song_index"]).select("song_index", *columns)
     side = lambda p: one.select(F.col("song_index").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in columns])
-    return pairs.join(side("a"), "a").join(side("b"), "b")
+    return skew_join(skew_join(pairs, side("a"), "a"), side("b"), "b", hot=hot_keys(pairs, "b")).select("a", "b", *[c for c in pairs.columns if c not in ("a", "b")], *[f"{p}_{c}" for p in "ab" for c in columns])
+
+
+def _mapped(rows: DataFrame, columns: list[str], function, kind: pa.DataType, sql: str, name: str) -> DataFrame:
+    """(a, b, name) of a Python function over columns of pairs, in Arrow batches spread evenly over tasks."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(i + 2).to_pylist() for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([function(*x) for x in zip(*sides, strict=True)], kind)], names=["a", "b", name])
+
+    n = rows.sparkSession.sparkContext.defaultParallelism * 4
+    return rows.select("a", "b", *columns).repartition(n, "a", "b").mapInArrow(scan, f"a bigint, b bigint, {name} {sql}")
+
+
+def line_coverages(pairs: DataFrame, songs: DataFrame) -> DataFrame:
+    """(a, b, a_in_b, b_in_a): the share of lines that the other song has exactly or nearly; 0 where one has none."""
+    sides = ["a_lyric_lines", "b_lyric_lines"]
+    both = _mapped(pair_sides(pairs, songs, ["lyric_lines"]), sides, lambda x, y: [coverage(x or [], y or []), coverage(y or [], x or [])], pa.list_(pa.float64()), "array<double>", "c")
+    return both.select("a", "b", F.col("c")[0].alias("a_in_b"), F.col("c")[1].alias("b_in_a"))
+
+
+def text_ratios(pairs: DataFrame, songs: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, one ratio for each of the columns) of pairs; null text is empty."""
+    sides = [f"{p}_{c}" for c in columns for p in "ab"]
+    ratios = lambda *x: [ratio(x[i] or "", x[i + 1] or "") for i in range(0, len(x), 2)]
+    both = _mapped(pair_sides(pairs, songs, columns), sides, ratios, pa.list_(pa.float64()), "array<double>", "r")
+    return both.select("a", "b", *[F.col("r")[i].alias(c) for i, c in enumerate(columns)])
+
+
+def best_line_scores(pairs: DataFrame, songs: DataFrame) -> DataFrame:
+    """(a, b, place, score): of every line of a the likeness of the line of b that is most like it; 0 where b has none."""
+    best = lambda x, y: [max((line_score(p, q) for q in set(y or [])), default=0.0) for p in x or []]
+    rows = _mapped(pair_sides(pairs, songs, ["lyric_lines"]), ["a_lyric_lines", "b_lyric_lines"], best, pa.list_(pa.float64()), "array<double>", "s")
+    return rows.select("a", "b", F.posexplode("s").alias("place", "score"))
 
 
 def score_pairs(pairs: DataFrame, songs: DataFrame) -> DataFrame:

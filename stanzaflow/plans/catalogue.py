@@ -188,5 +188,6 @@ ORACLE = {
     "fil3_export_body": f"{_ONE} SELECT song_index, {_body_sql()} AS body FROM sg",
     "win6_collision_names": f"""{_ONE}, n AS (SELECT song_index, source_repo, {S.safe_name('title')} AS stem FROM sg), r AS (SELECT *, row_number() OVER (PARTITION BY source_repo, lower(stem) ORDER BY song_index) AS k FROM n)
         SELECT song_index, CASE WHEN k > 1 THEN stem || '_' || k ELSE stem END AS name FROM r""",
+    "prj1_inventory_meta": _ONE + " SELECT song_index, CASE WHEN source_meta IS NULL OR len(map_keys(source_meta)) = 0 THEN '{}' ELSE '{' || array_to_string(list_transform(list_sort(map_keys(source_meta)), lambda k: to_json(k) || ':' || to_json(source_meta[k])), ',') || '}' END AS source_meta FROM sg",
 }
-QUERIES = {k: globals()[k] for k in ORACLE} | {"prj1_inventory_meta": prj1_inventory_meta}
+QUERIES = {k: globals()[k] for k in ORACLE}

@@ -72,8 +72,8 @@ def _cover_sql(x: str, y: str) -> str:
     return f"CASE WHEN len({x}) > 0 AND len({y}) > 0 THEN len(list_filter({x}, lambda z: list_contains({y}, z))) / len({x}) ELSE 0 END"
 
 
-def joi1_candidate_pairs(spark, d):
-    return B.candidate_pairs(songs_of(spark, d))
+def joi1_candidate_classes(spark, d):
+    return B.candidate_classes(songs_of(spark, d))
 
 
 def joi1_candidate_links(spark, d):
@@ -91,8 +91,7 @@ def agg1_bucket_sizes(spark, d):
 
 
 def joi2_over_cap(spark, d):
-    cap = F.create_map(*[F.lit(x) for kv in B.CAPS.items() for x in kv])[F.col("kind")]
-    return B.bucket_sizes(B.blocking_keys(songs_of(spark, d))).where(F.col("n") > cap).select("kind", "key", "n")
+    return B.bucket_sizes(B.blocking_keys(songs_of(spark, d))).where("n > 1 and not kept").select("kind", "key", "n")
 
 
 def joi3_token_buckets(spark, d):
@@ -118,16 +117,23 @@ def sim5_shared_lines(spark, d):
     return _pair_columns("lyric_lines")(spark, d).select("a", "b", M.shared_lines(F.col("a_lyric_lines"), F.col("b_lyric_lines")).alias("shared"))
 
 
+def sim4_line_coverage(spark, d):
+    """Share of the lines of each song of a scored pair that the other has exactly or nearly."""
+    return M.line_coverages(scores_of(spark, d).select("a", "b"), table(spark, d, "songs"))
+
+
 def sim6_exact_pairs(spark, d):
-    p = _pair_columns("normalized_lyrics", "normalized_title")(spark, d)
-    return p.where("a_normalized_lyrics <> '' and a_normalized_lyrics = b_normalized_lyrics").select("a", "b", (F.col("a_normalized_title") == F.col("b_normalized_title")).alias("same_title"))
+    """Songs with the lyrics of another song, beside the first of them: what the fast path scores 1.0."""
+    return M.equal_lyrics(songs_of(spark, d))
 
 
 def sim7_combined(spark, d):
-    s = scores_of(spark, d).join(songs_of(spark, d).select(F.col("song_index").alias("a"), F.coalesce(F.size("lyric_lines"), F.lit(0)).alias("n"), "normalized_title"), "a")
+    s = M.pair_sides(scores_of(spark, d), songs_of(spark, d), ["lyric_lines", "normalized_title"])
+    lines = F.least(*[F.coalesce(F.size(f"{p}_lyric_lines"), F.lit(0)) for p in "ab"])
+    named = F.coalesce((F.col("a_normalized_title") != "") & (F.col("a_normalized_title") == F.col("b_normalized_title")), F.lit(False))
     parts = s.select(
         "a", "b", F.coalesce("title_score", F.lit(0.0)).alias("title_score"), F.coalesce("lyric_score", F.lit(0.0)).alias("lyric_score"), F.coalesce("line_coverage_a_in_b", F.lit(0.0)).alias("ab"),
-        F.coalesce("line_coverage_b_in_a", F.lit(0.0)).alias("ba"), F.col("n").alias("lines"), (F.coalesce("title_score", F.lit(0.0)) >= 1.0).alias("same_title"), F.coalesce("shared_line_count", F.lit(0)).alias("shared_line_count"),
+        F.coalesce("line_coverage_b_in_a", F.lit(0.0)).alias("ba"), lines.alias("lines"), named.alias("same_title"), F.coalesce("shared_line_count", F.lit(0)).alias("shared_line_count"),
     )
     return M.combine(parts).select("a", "b", F.round("lyric_identity_score", 6).alias("lyric_identity_score"), F.round("final_score", 6).alias("final_score"), "decision_hint")
 
@@ -174,7 +180,7 @@ _TITLES = _sides_sql("title", "source_repo")
 _Z = "coalesce({}, 0)"
 _hi, _lo, _t, _y = "greatest(ab, ba)", "least(ab, ba)", "t", "y"
 ORACLE = {
-    "joi1_candidate_pairs": _PAIRS_SQL + " SELECT a, b FROM pr",
+    "joi1_candidate_classes": _KEYS_SQL + ", kd AS (SELECT DISTINCT kind, key, id, cap FROM ky), bs AS (SELECT kind, key, id, count(*) OVER w AS n, min(id) OVER w AS rep, cap FROM kd WINDOW w AS (PARTITION BY kind, key)) SELECT kind, md5(kind || '|' || key) AS bucket, rep, id AS song_index, n - 1 AS links, n > cap AS over_cap FROM bs WHERE n > 1",
     "joi1_candidate_links": _PAIRS_SQL + " SELECT id, count(*) AS links FROM (SELECT a AS id FROM pr UNION ALL SELECT b FROM pr) GROUP BY id",
     "joi1_covered_links": _KEYS_SQL + ", pr AS (SELECT DISTINCT x.id AS a, y.id AS b FROM ky x JOIN ky y USING (kind, key) WHERE x.id < y.id) SELECT id, count(*) AS links FROM (SELECT a AS id FROM pr UNION ALL SELECT b FROM pr) GROUP BY id",
     "agg1_bucket_sizes": _KEYS_SQL + " SELECT kind, count(*) AS buckets, sum(n)::bigint AS rows, max(n) AS largest, count(*) FILTER (n BETWEEN 2 AND cap) AS kept FROM bk GROUP BY kind",
@@ -184,13 +190,13 @@ ORACLE = {
     "sim2_containment": _sides_sql("normalized_title") + f" SELECT a, b, {_contain_sql('a_normalized_title', 'b_normalized_title')} AS a_in_b, {_contain_sql('b_normalized_title', 'a_normalized_title')} AS b_in_a FROM pt",
     "sim4_exact_coverage": _sides_sql("lyric_lines") + f" SELECT a, b, {_cover_sql('a_lyric_lines', 'b_lyric_lines')} AS a_in_b, {_cover_sql('b_lyric_lines', 'a_lyric_lines')} AS b_in_a FROM pt",
     "sim5_shared_lines": _sides_sql("lyric_lines") + " SELECT a, b, len(list_distinct(list_intersect(a_lyric_lines, b_lyric_lines))) AS shared FROM pt",
-    "sim6_exact_pairs": _sides_sql("normalized_lyrics", "normalized_title") + " SELECT a, b, a_normalized_title = b_normalized_title AS same_title FROM pt WHERE a_normalized_lyrics <> '' AND a_normalized_lyrics = b_normalized_lyrics",
+    "sim6_exact_pairs": f"WITH {SONGS_SQL}, e AS (SELECT song_index, coalesce(normalized_title, '') AS t, min(song_index) OVER w AS rep, first_value(coalesce(normalized_title, '')) OVER w AS rt FROM sg WHERE normalized_lyrics <> '' WINDOW w AS (PARTITION BY normalized_lyrics ORDER BY song_index)) SELECT rep, song_index, t = rt AS same_title FROM e WHERE song_index <> rep",
     "sim7_combined": f"""WITH {SONGS_SQL}, {SCORES_SQL}, p AS (SELECT a, b, coalesce(title_score, 0) AS t, coalesce(lyric_score, 0) AS y, coalesce(line_coverage_a_in_b, 0) AS ab, coalesce(line_coverage_b_in_a, 0) AS ba,
-        coalesce(len(lyric_lines), 0) AS n FROM sc JOIN sg ON a = song_index),
+        least(coalesce(len(x.lyric_lines), 0), coalesce(len(z.lyric_lines), 0)) AS n, coalesce(x.normalized_title <> '' AND x.normalized_title = z.normalized_title, false) AS named FROM sc JOIN sg x ON a = x.song_index JOIN sg z ON b = z.song_index),
         i AS (SELECT *, CASE WHEN n < 3 THEN y * 0.65::double + {_hi} * 0.2::double + t * 0.15::double ELSE {_hi} * 0.6::double + {_lo} * 0.2::double + y * 0.15::double + t * 0.05::double END AS base FROM p),
-        j AS (SELECT *, CASE WHEN t >= 1 AND n >= 4 AND {_hi} >= 0.88 AND y >= 0.72 THEN greatest(base, {_hi} * 0.7::double + y * 0.2::double + t * 0.1::double) ELSE base END AS s FROM i)
+        j AS (SELECT *, CASE WHEN named AND n >= 4 AND {_hi} >= 0.88 AND y >= 0.72 THEN greatest(base, {_hi} * 0.7::double + y * 0.2::double + t * 0.1::double) ELSE base END AS s FROM i)
         SELECT a, b, round(s, 6) AS lyric_identity_score, round(greatest(s, y * 0.85::double + t * 0.15::double), 6) AS final_score,
-        CASE WHEN s >= 0.86 THEN 'strong' WHEN t >= 1 AND s < 0.65 THEN 'same_title_different' WHEN s >= 0.65 THEN 'possible' ELSE 'weak' END AS decision_hint FROM j""",
+        CASE WHEN s >= 0.86 THEN 'strong' WHEN named AND s < 0.65 THEN 'same_title_different' WHEN s >= 0.65 THEN 'possible' ELSE 'weak' END AS decision_hint FROM j""",
     "str28_titles_differ": _TITLES + f" SELECT a, b, ({S.collapsed('a_title')} <> '' AND {S.collapsed('b_title')} <> '' AND {S.collapsed('a_title')} <> {S.collapsed('b_title')}) AS differ FROM pt",
     "str36_paths_differ": _sides_sql("source_path") + f" SELECT a, b, lower({S.text('a_source_path')}) <> lower({S.text('b_source_path')}) AS differ FROM pt",
     "set3_line_difference": _sides_sql("lyric_lines") + """ SELECT a, b, len(list_filter(list_distinct(a_lyric_lines), lambda z: NOT list_contains(b_lyric_lines, z))) AS a_only,
@@ -201,4 +207,4 @@ ORACLE = {
     "grf2_group_ids": GROUPS_SQL + " SELECT song_index, group_id FROM gi",
     "joi4_pair_titles": _TITLES + " SELECT * FROM pt",
 }
-QUERIES = {k: globals()[k] for k in ORACLE} | {"sim7_pair_scores": sim7_pair_scores}
+QUERIES = {k: globals()[k] for k in ORACLE} | {"sim4_line_coverage": sim4_line_coverage, "sim7_pair_scores": sim7_pair_scores}

@@ -5,26 +5,45 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stanzaflow.functions import text as T
+from stanzaflow.operators import catalog as C
 from stanzaflow.operators import diff as D
+from stanzaflow.operators import graph as G
 from stanzaflow.operators import review as R
 from stanzaflow.plans import sql as S
 from stanzaflow.plans.catalogue import _CLASS_SQL, _classified, _members, agg8_member_text, prj1_pairs
 from stanzaflow.plans.pairs import GROUPS_SQL, SCORES_SQL, SONGS_SQL, scores_of, songs_of
 from stanzaflow.sources import files as FS
 from stanzaflow.sources import sinks
-from stanzaflow.operators.skew import materialize
+from stanzaflow.operators.skew import materialize, skew_join
 from stanzaflow.sources.tables import table
 
 _c = F.col
-_FIELDS = ["title", "artist", "author", "source_repo", "source_format", "source_path"]
+
+
+REVIEWED = ["lyric_match_title_different", "needs_review", "title_match_lyrics_different", "multiple_chorded_sources"]
 
 
 def fil1_review_groups(spark, d):
-    return _classified(spark, d).where(_c("class").isin("lyric_match_title_different", "needs_review", "title_match_lyrics_different", "multiple_chorded_sources")).select("group_min", "class")
+    return _classified(spark, d).where(_c("class").isin(REVIEWED)).select("group_min", "class")
+
+
+#: The fields of a review candidate that a search looks at.
+SEARCHED = ["group_id", "classification", "title", "artist", "author", "source_repo", "source_format", "source_path", "canonical_reason", "members"]
+
+
+def candidates_of(spark, d):
+    """Review candidates: every group with its class, the song that stands for it, its members and whether it was exported."""
+    members, songs = materialize(_members(spark, d)), songs_of(spark, d)
+    classified = _classified(spark, d, members).select("group_min", _c("class").alias("classification"), "best_identity", _c("members").alias("sources"))
+    chosen = C.canonical_songs(members, songs).join(songs.select("song_index", "title", "artist", "author", "source_repo", "source_format", "source_path"), "song_index").withColumnRenamed("reason", "canonical_reason")
+    ids = G.group_ids(members).select("group_min", "group_id").distinct()
+    rows = classified.join(chosen, "group_min").join(ids, "group_min").join(C.member_text(members, songs), "group_min")
+    return rows.join(_exports(spark, d, members).select("group_min", "status"), "group_min")
 
 
 def fil2_search(spark, d):
-    return R.matching(songs_of(spark, d), _FIELDS, " the  REPO_B on ", source_format="OnSong").select("song_index", "title")
+    """Review candidates by class and terms that may stand in any of their fields."""
+    return R.matching(candidates_of(spark, d), SEARCHED, " best  REPO_ the ", classification="All", status="Unresolved").select("group_id", "classification", "title")
 
 
 def fil8_features(spark, d):
@@ -49,7 +68,10 @@ def joi8_group_pairs(spark, d):
 
 def joi6_groups_with_exports(spark, d):
     """Groups with the latest export that names one of their songs; groups without keep null."""
-    m = materialize(_members(spark, d))
+    return _exports(spark, d, materialize(_members(spark, d)))
+
+
+def _exports(spark, d, m):
     e = table(spark, d, "match_groups").select(_c("member_index").alias("song_index"), "group_id", "exported_at")
     last = m.join(e, "song_index", "left").groupBy("group_min").agg(F.max(F.struct("exported_at", "group_id")).alias("x"))
     return last.select("group_min", F.when(_c("x.group_id").isNull(), "unresolved").otherwise("resolved").alias("status"), _c("x.group_id").alias("exported_as"))
@@ -71,13 +93,22 @@ def win2_default_pairs(spark, d):
 
 
 def _texts(spark, d):
-    one = songs_of(spark, d).select("song_index", F.concat_ws("\n", F.concat(F.lit("Title: "), T.text(_c("title"))), T.text(_c("chordpro_body"))).alias("t"))
-    p = scores_of(spark, d).select("a", "b")
-    return p.join(one.select(_c("song_index").alias("a"), _c("t").alias("ta")), "a").join(one.select(_c("song_index").alias("b"), _c("t").alias("tb")), "b")
+    one = songs_of(spark, d).select("song_index", F.concat_ws("\n", F.concat(F.lit("Title: "), T.text(_c("title"))), T.text(_c("chordpro_body"))).alias("t"), T.text(_c("title")).alias("title"))
+    p = scores_of(spark, d).select("a", "b", _c("lyric_identity_score").alias("identity"))
+    side = lambda x: one.select(_c("song_index").alias(x), _c("t").alias(f"t{x}"), _c("title").alias(f"title_{x}"))
+    return skew_join(skew_join(p, side("a"), "a"), side("b"), "b")
+
+
+def pair_class(a_title, b_title, identity):
+    """What a scored pair is an issue of: equal titles of little identity, or the other way round."""
+    same = T.normalize_title(a_title) == T.normalize_title(b_title)
+    return F.when(same & (identity < 0.65), "title_match_lyrics_different").when(~same & (identity >= 0.96), "lyric_match_title_different").otherwise("")
 
 
 def dif1_song_diffs(spark, d):
-    return D.song_diffs(_texts(spark, d), "ta", "tb", ["a", "b"]).select("a", "b", F.col("row_count").cast("int").alias("rows"), F.round("similarity", 6).alias("similarity"), "chord_changes", "metadata_changes", "partial", "simplified", "truncated")
+    rows = _texts(spark, d).withColumn("class", pair_class(_c("title_a"), _c("title_b"), _c("identity")))
+    shown = ["chord_changes", "metadata_changes", "partial", "separate", "summary", "simplified", "truncated"]
+    return D.song_diffs(rows, "ta", "tb", ["a", "b"], _c("class")).select("a", "b", F.col("row_count").cast("int").alias("rows"), F.size("lines").alias("shown"), F.round("similarity", 6).alias("similarity"), *shown)
 
 
 def dif2_positional(spark, d):
@@ -89,8 +120,8 @@ def agg7_status_counts(spark, d):
 
 
 def lim1_first_lines(spark, d):
-    """The first nine lines of a text with a mark where more follow."""
-    cut = F.when(F.size("l") > 9, F.concat(F.slice("l", 1, 9), F.array(F.lit("... truncated ...")))).otherwise(_c("l"))
+    """The lines of a text that a display shows, with a mark where more follow."""
+    cut = F.when(F.size("l") > D.RENDERED, F.concat(F.slice("l", 1, D.RENDERED), F.array(F.lit(D.CUT)))).otherwise(_c("l"))
     return table(spark, d, "documents").select("doc_id", T.lines(_c("text")).alias("l")).select("doc_id", F.array_join(cut, "\n").alias("shown"))
 
 
@@ -175,8 +206,9 @@ def rem6_file_hash(spark, d):
 
 
 def rem12_issue_table(spark, d):
-    rows = _classified(spark, d)
-    return rows.groupBy("class").agg(F.count(F.lit(1)).alias("issues"), F.sum("members").alias("sources"), F.max("best_identity").alias("best"))
+    """The rows of the issue table: class, title, best identity, sources, status and reason of every review candidate."""
+    rows = candidates_of(spark, d).where(_c("classification").isin(REVIEWED))
+    return rows.select("group_id", "classification", "title", T.round_even(_c("best_identity")).alias("best_identity"), "sources", "status", _c("canonical_reason").alias("reason"))
 
 
 _PT = f"WITH {SONGS_SQL}, {SCORES_SQL}, pt AS (SELECT sc.a, sc.b, x.title AS a_title, y.title AS b_title, x.source_repo AS a_source, y.source_repo AS b_source, sc.title_score, sc.lyric_identity_score, sc.final_score FROM sc JOIN sg x ON x.song_index = a JOIN sg y ON y.song_index = b)"
@@ -186,11 +218,15 @@ pl AS (SELECT a, b, place, coalesce(la[place + 1], '') AS l, coalesce(lb[place +
 sl AS (SELECT a, b, place, l AS "left", r AS "right", CASE WHEN l <> '' AND r <> '' THEN CASE WHEN l = r THEN 'equal' WHEN {S.line_kind('l')} = 'metadata' OR {S.line_kind('r')} = 'metadata' THEN 'metadata'
     WHEN regexp_extract_all(l, {S.q(T.REVIEW_CHORD)}) <> regexp_extract_all(r, {S.q(T.REVIEW_CHORD)}) AND {S.review_line('l')} = {S.review_line('r')} THEN 'chord_change' WHEN {S.review_line('l')} = {S.review_line('r')} THEN 'equal' ELSE 'changed' END
     WHEN l <> '' THEN 'a_only' ELSE 'b_only' END AS status FROM pl WHERE l <> '' OR r <> '')"""
-_HAY = "lower(concat_ws(' ', " + ", ".join(S.text(f) for f in _FIELDS) + "))"
+_HAY = "lower(concat_ws(' ', " + ", ".join(S.text(f) for f in SEARCHED) + "))"
+_EXPORT_SQL = "e AS (SELECT group_min, max({'t': exported_at, 'g': group_id}) FILTER (group_id IS NOT NULL) AS x FROM gr LEFT JOIN match_groups ON member_index = song_index GROUP BY 1)"
+_CAND_SQL = _CLASS_SQL + f""", {_EXPORT_SQL}, mt AS (SELECT group_min, string_agg(coalesce(source_repo, '') || ': ' || coalesce(title, '') || ' [' || coalesce(source_path, '') || ']', ' || ' ORDER BY song_index) AS members FROM gr JOIN sg USING (song_index) GROUP BY 1),
+cd AS (SELECT group_id, kl.class AS classification, s AS best_identity, kl.members AS sources, title, artist, author, source_repo, source_format, source_path, reason AS canonical_reason, mt.members AS members, CASE WHEN x IS NULL THEN 'unresolved' ELSE 'resolved' END AS status
+    FROM kl JOIN ca USING (group_min) JOIN sg USING (song_index) JOIN (SELECT DISTINCT group_min, group_id FROM gi) USING (group_min) JOIN mt USING (group_min) JOIN e USING (group_min))"""
 _DIFFER = f"({S.collapsed('a_title')} <> '' AND {S.collapsed('b_title')} <> '' AND {S.collapsed('a_title')} <> {S.collapsed('b_title')})"
 ORACLE = {
     "fil1_review_groups": _CLASS_SQL + " SELECT group_min, class FROM kl WHERE class IN ('lyric_match_title_different', 'needs_review', 'title_match_lyrics_different', 'multiple_chorded_sources')",
-    "fil2_search": f"WITH {SONGS_SQL} SELECT song_index, title FROM sg WHERE lower(source_format) = 'onsong' AND contains({_HAY}, 'the') AND contains({_HAY}, 'repo_b') AND contains({_HAY}, 'on')",
+    "fil2_search": _CAND_SQL + f" SELECT group_id, classification, title FROM cd WHERE status = 'unresolved' AND contains({_HAY}, 'best') AND contains({_HAY}, 'repo_') AND contains({_HAY}, 'the')",
     "fil8_features": f"""WITH l AS (SELECT doc_id, {S.lines('text')} AS l FROM documents), n AS (SELECT doc_id, list_sum(list_transform(l, lambda x: len(regexp_extract_all(x, {S.q(T.REVIEW_CHORD)})))) AS c, len(l) AS n,
         len(list_filter(l, lambda x: {S.trim('x')} <> '' AND {S.review_line('x')} <> '')) AS y FROM l) SELECT doc_id, coalesce(c, 0)::bigint AS chord_count, n::bigint AS line_count, y::bigint AS lyric_line_count, CASE WHEN y BETWEEN 1 AND 4 THEN 'likely partial' ELSE 'complete-looking' END AS completeness FROM n""",
     "par11_members": GROUPS_SQL + ", o AS (SELECT group_min, row_number() OVER (PARTITION BY group_min ORDER BY song_index) - 1 AS place, source_repo, title, source_path FROM gr JOIN sg USING (song_index)) SELECT group_min, place::int AS place, " + ", ".join(f"{S.trim(S.text(c))} AS {c}" for c in ("source_repo", "title", "source_path")) + " FROM o",
@@ -204,7 +240,7 @@ ORACLE = {
         r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x DESC, y DESC, a, b) AS k FROM o) SELECT g, a, b FROM r WHERE k = 1""",
     "dif2_positional": _TX + " SELECT * FROM sl",
     "agg7_status_counts": _TX + " SELECT status, count(*) AS n FROM sl GROUP BY 1",
-    "lim1_first_lines": f"WITH l AS (SELECT doc_id, {S.lines('text')} AS l FROM documents) SELECT doc_id, array_to_string(CASE WHEN len(l) > 9 THEN list_concat(l[1:9], ['... truncated ...']) ELSE l END, chr(10)) AS shown FROM l",
+    "lim1_first_lines": f"WITH l AS (SELECT doc_id, {S.lines('text')} AS l FROM documents) SELECT doc_id, array_to_string(CASE WHEN len(l) > {D.RENDERED} THEN list_concat(l[1:{D.RENDERED}], ['{D.CUT}']) ELSE l END, chr(10)) AS shown FROM l",
     "lim3_first_two_members": GROUPS_SQL + " SELECT group_min, min(song_index) AS first, min(song_index) FILTER (song_index <> group_min) AS second FROM gr GROUP BY 1",
     "dif5_side_tags": f"WITH {SONGS_SQL}, {SCORES_SQL}, u AS (SELECT a, b, unnest(x.lyric_lines) AS line, y.lyric_lines AS lb FROM sc JOIN sg x ON x.song_index = a JOIN sg y ON y.song_index = b) SELECT a, b, line, CASE WHEN list_contains(lb, line) THEN 'both' ELSE 'a_only' END AS tag FROM u",
     "ups1_replace_files": """WITH n AS (SELECT DISTINCT ON (path) path, file_hash, size FROM file_scans ORDER BY path, scanned_at DESC, scan_id DESC), o AS (SELECT path, max({'u': updated_at, 'h': file_hash, 's': size}) AS e FROM source_files GROUP BY 1)
@@ -221,6 +257,6 @@ ORACLE = {
         SELECT song_index, CASE WHEN k > 1 THEN s || '_' || k ELSE s END AS anchor FROM r""",
     "rem1_pair_rows": f"WITH {SCORES_SQL} SELECT a, b, coalesce(title_score, 0) AS title_score, coalesce(lyric_score, 0) AS lyric_score, coalesce(lyric_identity_score, 0) AS lyric_identity_score, coalesce(final_score, 0) AS final_score, true AS cache_hit FROM sc",
     "rem6_file_hash": "WITH r AS (SELECT path, (max({'u': updated_at, 'h': file_hash})).h AS known FROM source_files WHERE file_hash IS NOT NULL GROUP BY 1) SELECT scan_id, coalesce(file_hash, known, sha256('missing|' || f.path)) AS hash FROM file_scans f LEFT JOIN r USING (path)",
-    "rem12_issue_table": _CLASS_SQL + " SELECT class, count(*) AS issues, sum(members)::bigint AS sources, max(s) AS best FROM kl GROUP BY 1",
+    "rem12_issue_table": _CAND_SQL + f" SELECT group_id, classification, title, round(best_identity, 6) AS best_identity, sources, status, canonical_reason AS reason FROM cd WHERE classification IN ({S.names(REVIEWED)})",
 }
 QUERIES = {k: globals()[k] for k in ORACLE} | {"dif1_song_diffs": dif1_song_diffs}

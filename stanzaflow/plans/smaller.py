@@ -12,7 +12,7 @@ from stanzaflow.operators import catalog as C
 from stanzaflow.operators import diff as D
 from stanzaflow.operators import similarity as M
 from stanzaflow.plans import sql as S
-from stanzaflow.plans.catalogue import _heads_sql, agg8_member_text, fil7_conflicts
+from stanzaflow.plans.catalogue import _heads_sql, _members, fil7_conflicts
 from stanzaflow.plans.catalogue import ORACLE as CATALOGUE_SQL
 from stanzaflow.plans.pairs import GROUPS_SQL, SCORES_SQL, SONGS_SQL, scores_of, songs_of
 from stanzaflow.sources import openlyrics as X
@@ -34,7 +34,9 @@ def _mapped(df, key: str, function, columns: list[str], kind: str):
 
 
 def str23_clean_text(spark, d):
-    return _mapped(songs_of(spark, d), "song_index", X.clean_text, ["title"], "string")
+    texts = F.array(*[F.struct(F.lit(c).alias("field"), _c(c).alias("text")) for c in ("title", "plain_lyrics", "chordpro_body")])
+    rows = songs_of(spark, d).select("song_index", F.explode(texts).alias("t")).select(F.concat_ws("-", "song_index", "t.field").alias("field"), "t.text")
+    return _mapped(rows, "field", X.clean_text, ["text"], "string")
 
 
 def str32_local_name(spark, d):
@@ -43,17 +45,14 @@ def str32_local_name(spark, d):
     return _mapped(df, "song_index", X.local_name, ["tag"], "string")
 
 
-def _title_pairs(spark, d):
-    p = M.pair_sides(scores_of(spark, d).select("a", "b"), table(spark, d, "songs"), ["normalized_title"])
-    return p.withColumn("pair", F.concat_ws("-", _c("a").cast("string"), _c("b").cast("string")))
+def sim1_ratios(spark, d):
+    """Likeness of titles and of whole lyrics of every scored pair."""
+    return M.text_ratios(scores_of(spark, d).select("a", "b"), table(spark, d, "songs"), ["normalized_title", "compact_title", "normalized_lyrics"])
 
 
-def sim1_title_ratio(spark, d):
-    return _mapped(_title_pairs(spark, d), "pair", M.ratio, ["a_normalized_title", "b_normalized_title"], "double")
-
-
-def sim3_title_line_score(spark, d):
-    return _mapped(_title_pairs(spark, d), "pair", M.line_score, ["a_normalized_title", "b_normalized_title"], "double")
+def sim3_line_scores(spark, d):
+    """For every line of the first song of a scored pair the likeness of the most like line of the second."""
+    return M.best_line_scores(scores_of(spark, d).select("a", "b"), table(spark, d, "songs"))
 
 
 def par7_titles(spark, d):
@@ -83,7 +82,7 @@ def rem3_member_texts(spark, d):
 
 
 def rem5_member_counts(spark, d):
-    return agg8_member_text(spark, d).select("group_min", F.size(F.split("members", r" \|\| ")).cast("bigint").alias("n"))
+    return _members(spark, d).groupBy("group_min").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rem7_snapshot_lookup(spark, d):
@@ -102,7 +101,8 @@ def agg10_conflict_count(spark, d):
 
 
 def lim2_first_lines(spark, d):
-    return songs_of(spark, d).select("song_index", F.array_join(F.slice("lyric_lines", 1, 8), "\n").alias("lines"))
+    """The first 200 lines of a song, as many as a quick look at a large text takes."""
+    return songs_of(spark, d).select("song_index", F.array_join(F.slice("lyric_lines", 1, 200), "\n").alias("lines"))
 
 
 def srt1_ordered_pairs(spark, d):
@@ -125,8 +125,8 @@ ORACLE = {
     "rem7_snapshot_lookup": f"WITH {SONGS_SQL}, r AS (SELECT path, (max({{'u': updated_at, 'h': file_hash}})).h AS h FROM source_files WHERE file_hash IS NOT NULL GROUP BY 1), p AS (SELECT file_hash, min(song_index) AS song_index FROM sg WHERE file_hash IS NOT NULL GROUP BY 1) SELECT scan_id, song_index FROM file_scans LEFT JOIN r USING (path) LEFT JOIN p ON r.h = p.file_hash",
     "rem8_song_features": _FEATURES,
     "agg10_conflict_count": CATALOGUE_SQL["fil7_conflicts"].rsplit(" SELECT a, b, lyric_identity_score FROM cf", 1)[0] + " SELECT count(*) AS conflicts FROM cf",
-    "lim2_first_lines": f"WITH {SONGS_SQL} SELECT song_index, array_to_string(lyric_lines[1:8], chr(10)) AS lines FROM sg",
+    "lim2_first_lines": f"WITH {SONGS_SQL} SELECT song_index, array_to_string(lyric_lines[1:200], chr(10)) AS lines FROM sg",
     "srt1_ordered_pairs": f"WITH {SCORES_SQL} SELECT a, b FROM sc",
     "set1_union_of_roots": "SELECT source_repo, count(*) AS files, count(DISTINCT path) AS paths FROM (SELECT path, source_repo FROM source_files UNION ALL SELECT path, source_repo FROM file_scans) GROUP BY 1",
 }
-QUERIES = {k: globals()[k] for k in [*ORACLE, "str23_clean_text", "str32_local_name", "sim1_title_ratio", "sim3_title_line_score", "par7_titles"]}
+QUERIES = {k: globals()[k] for k in [*ORACLE, "str23_clean_text", "str32_local_name", "sim1_ratios", "sim3_line_scores", "par7_titles"]}

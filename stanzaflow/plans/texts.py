@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stanzaflow.functions import text as T
 from stanzaflow.plans import sql as S
+from stanzaflow.sources.files import content_hash
 from stanzaflow.sources.tables import table
 
 QUERIES: dict = {}
@@ -117,10 +118,8 @@ _song("str35_html_escape", "plain_lyrics", T.html_escape, S.html)
 _doc_line("par12_verse_label", result=(T.verse_label, S.verse_label))
 _song("par13_format_of", "source_path", T.format_of, lambda x: f"CASE lower(regexp_extract({S.text(x)}, {S.q(r'(\.[^./]+)$')}, 1)) WHEN '.xml' THEN 'openlyrics' WHEN '.onsong' THEN 'onsong' ELSE 'txt_chordpro' END")
 _song("src6_text_hash", "plain_lyrics", lambda c: F.sha2(F.encode(T.text(c), "utf-8"), 256), lambda x: f"sha256({S.text(x)})")
-_add(
-    "src5_source_uid", "songs", ["song_index"], {"uid": lambda: F.sha2(F.encode(F.concat_ws("|", T.text(_c("source_repo")), T.text(_c("source_path")), T.text(_c("file_hash"))), "utf-8"), 256)},
-    {"uid": f"sha256({S.text('source_repo')} || '|' || {S.text('source_path')} || '|' || {S.text('file_hash')})"},
-)
+QUERIES["src5_file_hash"] = lambda spark, d: table(spark, d, "documents").select("doc_id", F.encode(T.text(_c("text")), "utf-8").alias("content")).select("doc_id", content_hash().alias("hash"))
+ORACLE["src5_file_hash"] = f"SELECT doc_id, sha256({S.text('text')}) AS hash FROM documents"
 _add("sim8_float_value", "songs", ["song_index"], {"value": lambda: T.float_value(_c("tempo"))}, {"value": "coalesce(try_cast(tempo AS double), 0)"})
 _secs = "CAST(size AS double)"
 _hms = lambda full: f"""CASE WHEN size IS NULL THEN '-' WHEN size >= 3600 THEN (size // 3600) || 'h ' || (size % 3600 // 60) || 'm{" ' || (size % 60) || 's" if full else ''}'

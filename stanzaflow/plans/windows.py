@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from stanzaflow.functions import text as T
 from stanzaflow.operators import blocking as B
 from stanzaflow.operators import catalog as C
-from stanzaflow.operators.skew import materialize, once
+from stanzaflow.operators import diff as D
+from stanzaflow.operators.changes import VersionedTable
+from stanzaflow.operators.skew import materialize, once, scratch, skew_join
 from stanzaflow.plans import sql as S
-from stanzaflow.plans.catalogue import _CLASS_SQL, _classified, _members
+from stanzaflow.plans.catalogue import _CLASS_SQL, _classified, _members, prj1_pairs
+from stanzaflow.plans.catalogue import ORACLE as CATALOGUE_SQL
 from stanzaflow.plans.pairs import _KEYS_SQL, SCORES_SQL, SONGS_SQL, scores_of, songs_of
-from stanzaflow.plans.reviewing import _TX, dif2_positional
+from stanzaflow.plans.reviewing import _TX, dif2_positional, pair_class
 from stanzaflow.plans.sheets import _sheets_sql, chords_sql, sheets_of, xml_of
 from stanzaflow.plans.smaller import _mapped
 from stanzaflow.sources import chordpro as P
@@ -27,11 +30,8 @@ def fil5_kept_buckets(spark, d):
 
 def set2_pairs_by_index(spark, d):
     """Different pairs that each index gives by itself."""
-    keys = B.blocking_keys(songs_of(spark, d))
-    kept = B.bucket_sizes(keys).where("kept").select("kind", "key")
-    ids = keys.join(kept, ["kind", "key"], "left_semi").groupBy("kind", "key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    pair = F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice(_c("ids"), i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    return ids.select("kind", F.explode(pair).alias("p")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"))
+    pairs = B.kept_pairs(songs_of(spark, d))
+    return pairs.distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 def win3_header_lines(spark, d):
@@ -100,17 +100,32 @@ def dif3_line_status(spark, d):
     return dif2_positional(spark, d).groupBy("a", "b").agg(*[F.count_if(_c("status") == s).alias(s) for s in ("equal", "metadata", "chord_change", "changed", "a_only", "b_only")])
 
 
+def _keyed_pairs(spark, d):
+    """Scored pairs with their texts, their class and the key under which their diff is kept: file hashes, else of the text."""
+    text = F.concat_ws("\n", F.concat(F.lit("Title: "), T.text(_c("title"))), T.text(_c("chordpro_body")))
+    h = songs_of(spark, d).select("song_index", T.text(_c("title")).alias("title"), text.alias("text"), F.when(T.text(_c("file_hash")) != "", _c("file_hash")).otherwise(F.sha2(F.encode(text, "utf-8"), 256)).alias("h"))
+    side = lambda p: h.select(_c("song_index").alias(p), *[_c(c).alias(f"{p}_{c}") for c in ("title", "text", "h")])
+    p = skew_join(skew_join(scores_of(spark, d).select("a", "b", "lyric_identity_score"), side("a"), "a"), side("b"), "b")
+    p = p.withColumn("classification", pair_class(_c("a_title"), _c("b_title"), _c("lyric_identity_score")))
+    return p.withColumn("diff_key", D.diff_key(_c("a_h"), _c("b_h"), _c("classification")))
+
+
 def dif4_cache_keys(spark, d):
-    """Key under which the diff of every scored pair is kept: the hashes of both files, in pair order, and a version."""
-    h = songs_of(spark, d).select("song_index", T.text(_c("file_hash")).alias("h"))
-    p = scores_of(spark, d).select("a", "b").join(h.select(_c("song_index").alias("a"), _c("h").alias("ha")), "a").join(h.select(_c("song_index").alias("b"), _c("h").alias("hb")), "b")
-    return p.select("a", "b", F.sha2(F.encode(F.concat_ws("|", "ha", "hb", F.lit("diff.1")), "utf-8"), 256).alias("cache_key"))
+    return _keyed_pairs(spark, d).select("a", "b", "classification", _c("diff_key").alias("cache_key"))
+
+
+def dif4_read_through(spark, d):
+    """Diffs of all scored pairs, where those of pairs whose songs differ little were kept by a run before."""
+    pairs = _keyed_pairs(spark, d)
+    store = VersionedTable(spark, scratch(spark, "diffs"), "diff_key")
+    D.read_through(pairs.where("lyric_identity_score >= 0.65"), store)
+    return D.read_through(pairs, store).select("diff_key", "row_count", F.round("similarity", 6).alias("similarity"), "chord_changes", "metadata_changes", "summary", "cached")
 
 
 def snk1_score_report(spark, d):
-    """The pair report with scores rounded for a text file."""
-    cols = ["title_score", "lyric_score", "lyric_identity_score", "final_score"]
-    return scores_of(spark, d).select("a", "b", *[F.round(c, 3).alias(c) for c in cols], _c("cache_hit").cast("int").alias("cache_hit"))
+    """The pair report as it is written: all its columns, scores rounded to six digits."""
+    rows = prj1_pairs(spark, d)
+    return rows.select(*[T.round_even(_c(c)).alias(c) if t == "double" else _c(c) for c, t in rows.dtypes])
 
 
 def snk3_run_summary(spark, d):
@@ -156,10 +171,12 @@ ORACLE = {
     "win5_first_seen": f"WITH {SONGS_SQL} SELECT song_index, array_to_string(list_filter(lyric_lines, lambda x, i: list_position(lyric_lines, x) = i), chr(10)) AS lines FROM sg",
     "str25_trim_offsets": f"WITH {SONGS_SQL}, a AS (SELECT song_index, {S.lines('chordpro_body')} AS l FROM sg), li AS (SELECT song_index, unnest(range(len(l)))::int AS pos, unnest(l) AS line FROM a) SELECT song_index, pos, {S.trim('line')} AS text, greatest(0, least(length({S.trim('line')}), instr(line, '[') - 1 - (length(line) - length({S.re('line', f'^[{S.WS}]+')}))))::bigint AS at FROM li",
     "dif3_line_status": _TX + f" SELECT a, b, {_STATUS} FROM sl GROUP BY 1, 2",
-    "dif4_cache_keys": _H + f" SELECT a, b, sha256({S.text('x.file_hash')} || '|' || {S.text('y.file_hash')} || '|diff.1') AS cache_key FROM sc JOIN sg x ON x.song_index = a JOIN sg y ON y.song_index = b",
-    "snk1_score_report": f"WITH {SCORES_SQL} SELECT a, b, round(title_score, 3) AS title_score, round(lyric_score, 3) AS lyric_score, round(lyric_identity_score, 3) AS lyric_identity_score, round(final_score, 3) AS final_score, cache_hit::int AS cache_hit FROM sc",
+    "dif4_cache_keys": _H + f""", k AS (SELECT song_index, {S.title('title')} AS t, coalesce(nullif(file_hash, ''), sha256('Title: ' || {S.text('title')} || chr(10) || {S.text('chordpro_body')})) AS h FROM sg),
+        c AS (SELECT a, b, x.h AS xh, y.h AS yh, CASE WHEN x.t = y.t AND lyric_identity_score < 0.65 THEN 'title_match_lyrics_different' WHEN x.t <> y.t AND lyric_identity_score >= 0.96 THEN 'lyric_match_title_different' ELSE '' END AS classification
+        FROM sc JOIN k x ON x.song_index = a JOIN k y ON y.song_index = b) SELECT a, b, classification, sha256(xh || '|' || yh || '|' || classification || '|diff.1') AS cache_key FROM c""",
+    "snk1_score_report": "SELECT * REPLACE (" + ", ".join(f"round({c}, 6) AS {c}" for c in ("title_score", "lyric_score", "line_coverage_a_in_b", "line_coverage_b_in_a", "line_coverage_max", "line_coverage_min", "lyric_identity_score", "final_score")) + ") FROM (" + CATALOGUE_SQL["prj1_pairs"] + ")",
     "snk3_run_summary": _CLASS_SQL + " SELECT 'source_count' AS name, count(*) AS value FROM gr UNION ALL SELECT 'group_count', count(DISTINCT group_min) FROM gr UNION ALL SELECT fo.class, count(group_min) FROM fo LEFT JOIN kl ON fo.class = kl.class GROUP BY 1",
     "rem4_sides": _H + " SELECT a, b, 'A' AS marker, source_repo, title, source_path FROM sc JOIN sg ON a = song_index UNION ALL SELECT a, b, 'B', source_repo, title, source_path FROM sc JOIN sg ON b = song_index",
     "rem9_title_lookups": f"WITH {SONGS_SQL}, t AS (SELECT title, {S.title('title')} AS n FROM sg WHERE title <> ''), u AS (SELECT * FROM t WHERE n <> '') SELECT title, count(*) AS exact, any_value(m) AS normalised FROM u JOIN (SELECT n, count(*) AS m FROM u GROUP BY 1) USING (n) GROUP BY title",
 }
-QUERIES = {k: globals()[k] for k in [*ORACLE, "snk6_chord_rows", "par3_mixed_lines"]}
+QUERIES = {k: globals()[k] for k in [*ORACLE, "dif4_read_through", "snk6_chord_rows", "par3_mixed_lines"]}

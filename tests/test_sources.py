@@ -1,12 +1,16 @@
 """Parsers, files, sinks, diffs and choices of the review."""
 
 import json
+import random
 import xml.etree.ElementTree as ET
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from stanzaflow.operators import blocking, catalog, diff, review, similarity
+from stanzaflow.functions import text as T
+from stanzaflow.operators import bitmap, blocking, catalog, diff, review, similarity, skew
+from stanzaflow.operators.changes import VersionedTable
 from stanzaflow.sources import chordpro, files, openlyrics, sinks
 
 SHEET = "Title: My Song\nKey: [G]\nBook: Red\n\n{artist: Ann}\n[Verse 1]\n[G]Hello [C]world\nG  C\nTitle: not a header\nChorus:\nSing [Bridge] on\n"
@@ -53,6 +57,24 @@ def test_openlyrics(spark):
     assert [r.parse_status for r in rows] == ["ok", "warning", "warning"] and rows[1].parse_error.startswith("XML parse failed")
 
 
+def test_openlyrics_varieties(spark):
+    doc = lambda props, lyrics: f'<o:song xmlns:o="urn:x"><o:properties>{props}</o:properties><o:lyrics>{lyrics}</o:lyrics></o:song>'
+    bare = openlyrics.parse_song(doc("<o:titles><o:title> </o:title><o:title>B  t</o:title></o:titles><o:author/><o:composer>Con</o:composer><o:writer>Wri</o:writer>", '<o:verse name="v1">in <i>the</i> verse<o:br/>more</o:verse><o:verse>unnamed</o:verse>'))
+    assert (bare["title"], bare["author"], bare["plain_lyrics"], bare["chordpro_body"]) == ("B t", "Con", "in the verse\nmore\nunnamed", "{comment: v1}\nin the verse\nmore\n\n{comment: Verse}\nunnamed")
+    lined = openlyrics.parse_song(doc("", '<o:verse label="x"><o:lines><o:line>one</o:line><o:line>t<o:chord root="F#" structure="odd"/>wo</o:line></o:lines><o:lines>three</o:lines></o:verse>'))
+    assert (lined["plain_lyrics"], lined["chord_count"]) == ("one\ntwo\nthree", 1) and lined["chordpro_body"] == "{comment: x}\none\nt[F#odd]wo\nthree"
+    none = openlyrics.parse_song(doc("", "<o:lines>no verse<o:br/><o:br/>here</o:lines>"))
+    assert none["plain_lyrics"] == "no verse\nhere" and none["title"] == ""
+    book = openlyrics.parse_songbook(doc('<o:titles><o:title o:x="1">T</o:title></o:titles><o:authors><o:author>A</o:author><o:author> </o:author></o:authors><o:released>1999</o:released>', '<o:verse name="ei">x</o:verse><o:verse name="v2" lang="DE"><o:lines><o:chord name="G"/> lead</o:lines></o:verse><o:verse name="p"/>'))
+    assert [(v["name"], v["lang"]) for v in book["verses"]] == [(None, ""), ("Verse 2", "de")] and book["released"] == "1999" and book["authors"] == ["A", ""]
+    assert book["verses"][1]["lines"] == [{"text": "lead", "chords": [{"text": "G", "offset": 0}]}]
+    assert openlyrics.clean_text("ﬁ\x92s ’\x07x") == "fi's 'x" and openlyrics.local_name("{urn:x}Verse") == "verse" and openlyrics.local_name("{u}A", False) == "A" and openlyrics.local_name(None) == ""
+    rows = spark.createDataFrame([(1, "<a><b></a>"), (2, "no xml"), (3, "<song/>"), (4, "<song>" + "<verse>x</verse>" * 5000 + "</song>")], "id int, x string")
+    got = {r.id: r for r in openlyrics.parsed_songs(rows, "id", "x").collect()}
+    assert [got[i].parse_status for i in (1, 2, 3, 4)] == ["warning", "warning", "ok", "ok"] and got[4].plain_lyrics.count("x") == 5000
+    assert {r.id for r in openlyrics.songbook(rows, "id", "x").collect()} == {3, 4}
+
+
 def test_decoding():
     assert files.decode_bytes("café".encode("utf-8-sig"), files.CATALOGUE_LADDER) == "café"
     assert files.decode_bytes("café".encode("utf-16"), files.CATALOGUE_LADDER) == "café"
@@ -150,6 +172,28 @@ def test_blocking_covers_buckets_over_the_caps(spark):
     links = {r.id: r.links for r in blocking.covered_links(songs, {k: 4 for k in blocking.CAPS}).collect()}
     assert links == Counter(x for p in want for x in p)
     assert blocking.covered_pairs(songs.limit(0)).count() == blocking.covered_links(songs.limit(0)).count() == 0
+    stars = blocking.candidate_classes(songs, {k: 4 for k in blocking.CAPS}).collect()
+    together = defaultdict(set)
+    for r in stars:
+        together[r.bucket].add(r.song_index)
+    assert {(a, b) for v in together.values() for a in v for b in v if a < b} == want
+    assert all(r.rep == min(together[r.bucket]) and r.links == len(together[r.bucket]) - 1 and r.over_cap == (r.links >= 4) for r in stars)
+    assert blocking.candidate_classes(songs.limit(0)).count() == 0
+
+
+def test_blocking_with_a_full_bitmap_and_a_hot_bucket(spark, monkeypatch):
+    for m in (blocking, skew):
+        monkeypatch.setattr(m, "HOT_ROWS", 30)
+    monkeypatch.setattr(bitmap, "BITS", 8)
+    schema = "song_index bigint, normalized_title string, compact_title string, title_tokens array<string>, lyric_lines array<string>, lyric_shingles array<string>"
+    rows = [(i, "hot", "hot", [f"t{i % 50}", "often" if i < 60 else "x"], [], [f"s{i // 3}"]) for i in range(100)]
+    songs = spark.createDataFrame(rows, schema)
+    caps = {k: 10 for k in blocking.CAPS}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[0] % 50 == b[0] % 50 or a[0] // 3 == b[0] // 3)}
+    assert set(map(tuple, blocking.candidate_pairs(songs, caps).collect())) == want
+    stars = blocking.candidate_classes(songs, caps)
+    assert stars.where("kind = 'title' and rep = 0 and over_cap and links = 99").count() == 100
+    assert stars.count() <= 5 * len(rows)
 
 
 def test_diff():
@@ -157,7 +201,10 @@ def test_diff():
     d = diff.align(a, b)
     assert [x["status"] for x in d["lines"]] == ["metadata", "chord_change", "equal", "a_only", "b_only"]
     assert (d["chord_changes"], d["metadata_changes"], d["simplified"]) == (1, 1, False)
-    assert [x["status"] for x in diff.align(a, b, True)["lines"]][-1] == "changed"
+    assert [x["status"] for x in diff.align(a, b, "lyric_match_title_different")["lines"]][-1] == "changed"
+    assert d["summary"] == "Lyric similarity 0.61; 1 chord-only difference(s); 1 metadata difference(s)".replace("0.61", f"{d['similarity']:.2f}") and not d["separate"]
+    far = diff.align("Title: A\n" + "one two\n" * 9, "Title: A\nzzz", "title_match_lyrics_different")
+    assert far["separate"] and far["partial"] == "B" and far["summary"].endswith("Source B may be partial; sources may be separate songs")
     assert diff.align(None, None)["lines"] == []
     assert diff.align("x\n" * 2000, "x\n" * 2000)["simplified"]
 
@@ -167,11 +214,62 @@ def test_large_diff_is_whole(spark):
     b = ["new first", *a[:400], *["w"] * 300]
     pair = spark.createDataFrame([(1, "\n".join(a), "\n".join(b))], "k int, x string, y string")
     d = diff.song_diffs(pair, "x", "y", ["k"]).first()
-    assert d.simplified and d.truncated and len(d.lines) == diff.RENDERED and d.row_count == 1 + 400 + 600
+    assert d.simplified and d.truncated and len(d.lines) == diff.RENDERED + 1 and d.lines[-1].left == diff.CUT and d.summary.endswith("; rendered diff truncated") and d.row_count == 1 + 400 + 600
     assert [x.status for x in d.lines[:401]] == ["b_only"] + ["equal"] * 400
     assert 0.5 < d.similarity < 1.0
 
 
+def test_diffs_are_kept(spark, tmp_path, monkeypatch):
+    store = VersionedTable(spark, str(tmp_path / "d"), "diff_key")
+    pairs = lambda *x: spark.createDataFrame(list(x), "diff_key string, a_text string, b_text string, classification string, extra int")
+    one, two, three = ("k1", "a\nb", "a\nc", "", 1), ("k2", None, "x", None, 2), ("k3", "x", "x", "", 3)
+    first = {r.diff_key: r.cached for r in diff.read_through(pairs(one, one, two, (None, "a", "b", "", 0)), store).collect()}
+    assert first == {"k1": False, "k2": False}
+    again = {r.diff_key: r for r in diff.read_through(pairs(one, three), store).collect()}
+    assert {k: r.cached for k, r in again.items()} == {"k1": True, "k3": False} and again["k3"].similarity == 1.0 and [tuple(x) for x in again["k1"].lines] == [("a", "a", "equal"), ("b", "", "a_only"), ("", "c", "b_only")]
+    monkeypatch.setattr(VersionedTable, "_commit", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        diff.read_through(pairs(("k4", "a", "b", "", 0)), store)
+    monkeypatch.undo()
+    assert store.read().count() == 3
+    assert diff.read_through(pairs(one).limit(0), VersionedTable(spark, str(tmp_path / "e"), "diff_key")).count() == 0
+
+
+def test_coverage_equals_plain_alignment():
+    rng = random.Random(8)
+    words = "amber basin cedar delta ember fable grove haven".split()
+    line = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 7)))
+    for _ in range(150):
+        b = [line() for _ in range(rng.randint(0, 6))]
+        a = [line() for _ in range(3)] + [x[: rng.randint(0, len(x))] + rng.choice(["", "x", " zz"]) + x[len(x) // 2 :] for x in b]
+        plain = sum(x in b or any(similarity.line_score(x, y) >= 0.82 for y in b) for x in a) / len(a) if a and b else 0.0
+        assert similarity.coverage(a, b) == plain
+
+
+def test_measures_of_pairs(spark):
+    songs = spark.createDataFrame(
+        [(1, "t", "one two", ["one two three", "same"]), (2, None, "one two", ["one two three four", "other"]), (3, "t", "", None), (4, "t", "one two", []), (2, None, "one two", ["one two three four", "other"]), (None, "t", "one two", [])],
+        "song_index bigint, normalized_title string, normalized_lyrics string, lyric_lines array<string>",
+    )
+    pairs = spark.createDataFrame([(1, 2, "z"), (1, 3, "z"), (1, 9, "z")], "a bigint, b bigint, lyric_lines string")
+    got = {(r.a, r.b): (r.a_in_b, r.b_in_a) for r in similarity.line_coverages(pairs.select("a", "b"), songs).collect()}
+    assert got == {(1, 2): (0.5, 0.5), (1, 3): (0.0, 0.0)}
+    best = sorted((r.b, r.place, r.score) for r in similarity.best_line_scores(pairs.select("a", "b"), songs).collect())
+    assert best == [(2, 0, 1.0), (2, 1, similarity.ratio("same", "other")), (3, 0, 0.0), (3, 1, 0.0)]
+    assert {(r.b, r.normalized_lyrics) for r in similarity.text_ratios(pairs.select("a", "b"), songs, ["normalized_lyrics"]).collect()} == {(2, 1.0), (3, 0.0)}
+    assert sorted(map(tuple, similarity.equal_lyrics(songs).collect())) == [(1, 2, False), (1, 4, True)]
+    assert similarity.equal_lyrics(songs.limit(0)).count() == 0
+
+
+def test_rounding_is_that_of_python(spark):
+    rng = random.Random(1)
+    values = [2.6666665, 1.0000015, 0.0000025, 0.5, 0.0, 1.0, -0.1234565] + [(k + 0.5) / 1e6 for k in range(3000)] + [rng.random() for _ in range(3000)] + [rng.randint(0, 10**7) / 1e7 for _ in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i int, v double")
+    got = {r.i: r.r for r in df.select("i", T.round_even(F.col("v")).alias("r")).collect()}
+    assert got.pop(-1) is None
+    assert [got[i] for i in range(len(values))] == [round(v, 6) for v in values]
+
+
 def test_review(spark):
     df = spark.createDataFrame([("A", "The Hill", None), ("B", "River", "ann")], "k string, title string, artist string")
     assert [r.k for r in review.matching(df, ["title", "artist"], "hill the").collect()] == ["A"]
