@@ -71,10 +71,13 @@ def test_canonical_form():
     cases = {
         "Ｗｉｄｅ　text": "Wide text", "𝐁old": "Bold", "café": "café", "a​b­c﻿": "abc", "no br eak": "no br eak", "ﬁre": "fire", "Lа сlосhе": "La cloche", "Μy Οrchard": "My Orchard",
         "Don’t “quote”": "Don’t “quote”", "Моя душа": "Моя душа", "oткpытoм море": "открытом море", "Моя душа / The River": "Моя душа / The River", "마": "마", "ⅣX": "IVX", "": "", "а": "а", "x о y": "x o y", "שלום": "שלום",
+        "①²﹐№㎏ª ﭏ ﻻ ½": "①²,№kgª אל لا ½", "ᎡᎪᏚ ᎢᎻᎬ": "ᎡᎪᏚ ᎢᎻᎬ", "my ꓢꓳꓠꓖ": "my SONG", "Ꭲhe ꓢong": "The Song", "น้ำ … ´ ¨": "น้ำ … ´ ¨", "ŉ ǆ ﷺ": "ʼn dž صلى الله عليه وسلم",
     }
     got = c(pa.array(list(cases), pa.string())).to_pylist()
     assert dict(zip(cases, got, strict=True)) == cases
     assert c(pa.array([None], pa.string())).to_pylist() == [None]
+    whole = lookalikes.Canonical(lookalikes.FORMS)
+    assert whole(pa.array(["①²﹐№㎏ª ﭏ ﻻ ½™ …"], pa.string())).to_pylist() == ["12,Nokga אל لا 1⁄2TM …"]
     again = c(pa.array(got, pa.string())).to_pylist()
     assert again == got
 
@@ -85,6 +88,8 @@ def test_disguised_fields(spark, small):
     df = spark.createDataFrame(rows, "song_index bigint, title string, plain_lyrics string")
     assert set(map(tuple, lookalikes.disguised_fields(df, samples).collect())) == {(1, "title"), (2, "plain_lyrics")}
     assert lookalikes.disguised_fields(df.limit(0), samples).count() == 0
+    signs = spark.createDataFrame([(1, "№ 5, 1º, m² ½ …", "น้ำ"), (2, "㎏", "sing﹐ my song")], "song_index bigint, title string, plain_lyrics string")
+    assert set(map(tuple, lookalikes.disguised_fields(signs, samples).collect())) == {(2, "title"), (2, "plain_lyrics")}
     assert lookalikes.canonical_fields(df).where("song_index = 5").first().title is None
 
 
