@@ -196,13 +196,44 @@ def _pair_of_ascii(o: int) -> bool:
     return o < 0x10000 and plain(o & 255) and plain(o >> 8)
 
 
+@dataclass
+class Rules:
+    """What bounds the ratios besides the counts. plain: ASCII classes; hardly: classes that typed text holds."""
+
+    plain: np.ndarray
+    hardly: np.ndarray
+    styled: int
+    wide: np.ndarray
+    most: np.ndarray
+
+    def __call__(self, g: np.ndarray, prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+        g = np.array(g, np.float32)
+        p, q = self.plain[prev][:, None], self.plain[cur][:, None]
+        # plain characters mean the same in all states but the wide ones; after a garbled one they tell whether words are mixed
+        g = np.where(self.wide[None, :], np.where(q, np.minimum(g, -8), g), np.where(q, np.where(p, -STAY, np.minimum(g, self.most[None, :]) - STAY), g))
+        g[cur == self.styled] = -12
+        g = np.where(self.hardly[prev][:, None], np.minimum(g, 1.0), g)
+        return np.clip(g, -12, 12)
+
+
 @dataclass
 class Model:
-    """lut: class of each code point of the basic plane; gain[prev, cur, s]: log-likelihood ratio of state s to clean."""
+    """The log-likelihood ratios of all states to the clean one, for pairs of character classes.
+
+    lut: class of each code point of the basic plane. A pair that the samples or their misread forms hold has a row in
+    ``seen``, found by its code in ``codes``; any other backs off to ``kind`` of the first and the second character, plus a
+    term of the first, so the model grows with the classes and the pairs of a bounded sample. ``best`` is the largest ratio of
+    each pair, two bytes.
+    """
 
     lut: np.ndarray
-    gain: np.ndarray
+    kinds: np.ndarray
+    codes: np.ndarray
+    seen: np.ndarray
+    by_kind: np.ndarray
+    by_prev: np.ndarray
     best: np.ndarray
+    rules: Rules
     pairs: list[tuple[str, str, str]]
     enter: np.ndarray
 
@@ -211,6 +242,15 @@ class Model:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         return self.lut[np.minimum(codes, 0xFFFF)]
 
+    def gains(self, prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
+        """gain[i, s]: the ratio of state s for the i-th pair of classes."""
+        out = self.rules(self.by_kind[self.kinds[prev], cur] + self.by_prev[prev], prev, cur)
+        code = prev.astype(np.int64) * len(self.kinds) + cur
+        at = np.minimum(np.searchsorted(self.codes, code), max(0, len(self.codes) - 1))
+        known = self.codes[at] == code
+        out[known] = self.seen[at[known]]
+        return out.astype(np.float16).astype(np.float32)
+
 
 def fit(samples: list[str]) -> Model:
     """Estimate the emissions of all states from clean lines and from the same lines misread through every pair."""
@@ -242,22 +282,22 @@ def fit(samples: list[str]) -> Model:
             lut[o] = ascii16
     kinds = np.array([_kind(c) for c in single] + [2, 5, 6, 5])
 
-    def emission(rows: list[str], floor: np.ndarray, backing: float = 4.0) -> np.ndarray:
-        """log P(cur | prev): pairs of characters, backed by the context kind of prev, backed by a floor."""
-        count = np.zeros((n, n), np.float64)
+    def counted(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the pairs of classes in some lines, and how often each occurs."""
+        parts = [np.empty(0, np.int64)]
         for r in rows:
-            k = lut[np.minimum(np.frombuffer(("\n" + r).encode("utf-32-le"), np.uint32), 0xFFFF)]
-            np.add.at(count, (k[:-1], k[1:]), 1)
-        out = np.empty((n, n))
-        for kind in range(7):
-            of = np.flatnonzero(kinds == kind)
-            if not len(of):
-                continue
-            p = count[of].sum(axis=0)
-            p = p / (p.sum() + 20.0) * 0.999 + floor
-            total = count[of].sum(axis=1, keepdims=True)
-            out[of] = (count[of] + backing * p) / (total + backing)
-        return np.log(out)
+            k = lut[np.minimum(np.frombuffer(("\n" + r).encode("utf-32-le"), np.uint32), 0xFFFF)].astype(np.int64)
+            parts.append(k[:-1] * n + k[1:])
+        return np.unique(np.concatenate(parts), return_counts=True)
+
+    def emission(codes: np.ndarray, count: np.ndarray, floor: np.ndarray, backing: float) -> tuple[np.ndarray, np.ndarray]:
+        """log backing mass of cur by the kind of prev, and log total of each prev: P(cur | prev) is pairs of characters, backed
+        by the context kind of prev, backed by a floor."""
+        by_kind, total = np.zeros((7, n)), np.zeros(n)
+        np.add.at(by_kind, (kinds[codes // n], codes % n), count)
+        np.add.at(total, codes // n, count)
+        by_kind = by_kind / (by_kind.sum(axis=1, keepdims=True) + 20.0) * 0.999 + floor
+        return np.log(backing * by_kind), np.log(total + backing)
 
     def clean_floor(c: str) -> float:
         o = ord(c)
@@ -272,25 +312,35 @@ def fit(samples: list[str]) -> Model:
         return 1e-5 if c < "\x7f" else 1e-6
 
     floor = np.array([clean_floor(c) for c in single] + [1e-3, 1e-8, 1e-2, 1e-6])
-    base = emission(clean + odd, floor)
     plain = np.array([c < "\x7f" for c in single] + [False] * 4)
-    unseen = np.array([i for i, c in enumerate(single) if c != "\xad" and unicodedata.category(c) == "Cf"] + [styled])
-    gain = np.empty((n, n, len(PAIRS)), np.float32)
-    for s, (pair, rows) in enumerate(zip(PAIRS, images, strict=True)):
-        # the bytes of UTF-8 follow each other strictly, so a pair never seen is hardly possible there
-        g = emission(rows, np.full(n, 1e-9), 0.3 if pair[0] == "utf-8" else 4.0) - base
-        latin = pair[0] != "utf-8" and pair[0] not in OTHER_SCRIPT
-        if pair[1].startswith("utf-16"):
-            g[:, plain] = np.minimum(g[:, plain], -8)
-        else:  # plain characters mean the same in all these states; after a garbled one they tell whether words are mixed
-            g[np.ix_(plain, plain)] = -STAY
-            g[np.ix_(~plain, plain)] = np.minimum(g[np.ix_(~plain, plain)], 2.0 if latin else 0.0) - STAY
-        g[:, styled] = -12
-        g[unseen] = np.minimum(g[unseen], 1.0)
-        gain[:, :, s] = np.clip(g, -12, 12)
-    gain = gain.astype(np.float16).astype(np.float32)
+    hardly = np.array([c != "\xad" and unicodedata.category(c) == "Cf" for c in single] + [False, False, True, False])
+    states = [(counted(clean + odd), floor, 4.0)]
+    # the bytes of UTF-8 follow each other strictly, so a pair never seen is hardly possible there
+    states += [(counted(rows), np.full(n, 1e-9), 0.3 if pair[0] == "utf-8" else 4.0) for pair, rows in zip(PAIRS, images, strict=True)]
+    mass, total = zip(*[emission(*c, f, k) for c, f, k in states], strict=True)
+    seen = np.unique(np.concatenate([c[0] for c, _, _ in states]))
+    prev, cur = seen // n, seen % n
+
+    def numerator(i: int) -> np.ndarray:
+        """log of count and backing mass of every seen pair in a state."""
+        (codes, count), _, _ = states[i]
+        out = np.exp(mass[i][kinds[prev], cur])
+        out[np.searchsorted(seen, codes)] += count
+        return np.log(out)
+
+    wide = np.array([p[1].startswith("utf-16") for p in PAIRS])
+    most = np.array([2.0 if p[0] != "utf-8" and p[0] not in OTHER_SCRIPT else 0.0 for p in PAIRS], np.float32)
+    rules = Rules(plain, hardly, styled, wide, most)
+    by_kind = np.stack([m - mass[0] for m in mass[1:]], axis=2).astype(np.float32)
+    by_prev = np.stack([total[0] - t for t in total[1:]], axis=1).astype(np.float32)
+    base = numerator(0) - total[0][prev]
+    rows = np.stack([numerator(i) - total[i][prev] - base for i in range(1, len(states))], axis=1)
     enter = np.array([ENTER_OTHER if p[0] in OTHER_SCRIPT else ENTER for p in PAIRS], np.float32)
-    return Model(lut, gain, gain.max(axis=2), PAIRS, enter)
+    model = Model(lut, kinds, seen, rules(rows, prev, cur).astype(np.float16), by_kind, by_prev, np.empty((n, n), np.float16), rules, PAIRS, enter)
+    every = np.arange(n)
+    for k in range(n):
+        model.best[k] = model.gains(np.full(n, k), every).max(axis=1)
+    return model
 
 
 def suspects(model: Model, texts: list[str]) -> list[int]:
@@ -335,14 +385,16 @@ def label(model: Model, texts: list[str], block: int = 256) -> list[np.ndarray]:
         size = np.array([len(texts[i]) for i in group])
         for j, i in enumerate(group):
             k[1 : size[j] + 1, j] = model.classes(texts[i])
+        codes, where = np.unique(k[:-1] * len(model.kinds) + k[1:], return_inverse=True)
+        gain, where = model.gains(codes // len(model.kinds), codes % len(model.kinds)), where.reshape(longest, b)
         bad = np.zeros((b, s), np.float32)
         ok = np.zeros(b, np.float32)
-        from_clean = np.empty((longest, b, s), bool)
+        from_clean = np.empty((longest, b, (s + 7) // 8), np.uint8)  # one bit a state
         from_bad = np.zeros((longest, b), np.uint8)
         for t in range(longest):
             enter = ok[:, None] - model.enter
             into = enter > bad if t else np.ones((b, s), bool)
-            from_clean[t] = into
+            from_clean[t] = np.packbits(into, axis=1)
             if t:
                 top = bad.argmax(axis=1)
                 leave = bad[np.arange(b), top] - LEAVE
@@ -351,7 +403,7 @@ def label(model: Model, texts: list[str], block: int = 256) -> list[np.ndarray]:
                 ok_next = np.where(swap, leave, ok)
             else:
                 ok_next = ok
-            bad = np.where(into, enter, bad) + model.gain[k[t], k[t + 1]]
+            bad = np.where(into, enter, bad) + gain[where[t]]
             if (ended := size == t + 1).any():
                 for j in np.flatnonzero(ended):
                     last = bad[j].argmax() + 1 if bad[j].max() - LEAVE > ok_next[j] else 0
@@ -365,7 +417,7 @@ def _trace(state: int, t: int, from_clean: np.ndarray, from_bad: np.ndarray) ->
     while t >= 0:
         path[t] = state
         if state:
-            state = 0 if from_clean[t, state - 1] else state
+            state = 0 if from_clean[t, (state - 1) // 8] >> (7 - (state - 1) % 8) & 1 else state
         else:
             state = int(from_bad[t])
         t -= 1
