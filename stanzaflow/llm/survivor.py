@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stanzaflow.operators.skew import skew_join
+
 #: Sources from the least to the most trusted; any other source comes before all of them.
 TRUST = ["repo_a", "repo_b", "repo_c"]
 
@@ -14,10 +16,12 @@ def trust(source: Column) -> Column:
     return F.coalesce(*[F.when(source == s, F.lit(i + 1)) for i, s in enumerate(TRUST)], F.lit(0))
 
 
-def group_songs(groups: DataFrame, songs: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct members of groups with the named columns of their songs; members that are no songs drop out."""
-    members = groups.where("group_id is not null").select("group_id", F.col("member_index").alias("song_index")).distinct()
-    return members.join(songs.select("song_index", *columns), "song_index")
+def group_songs(groups: DataFrame, songs: DataFrame, best: dict[str, Column]) -> DataFrame:
+    """Distinct members of groups with the maximum of each of ``best`` over the rows of their song; members that are no
+    songs drop out. A song that is in very many groups is spread over tasks, and so are one with very many rows and a hot group."""
+    members = groups.where("group_id is not null and member_index is not null").select("group_id", F.col("member_index").alias("song_index")).distinct()
+    one = songs.groupBy("song_index").agg(*[F.max(c).alias(n) for n, c in best.items()])
+    return skew_join(members, one, "song_index")
 
 
 def survivors(groups: DataFrame, songs: DataFrame) -> DataFrame:
@@ -27,7 +31,6 @@ def survivors(groups: DataFrame, songs: DataFrame) -> DataFrame:
     aggregation per group, combined before the shuffle, so the size of a group does not matter; repeated rows change
     nothing.
     """
-    rows = group_songs(groups, songs, ["has_chords", "chord_count", "line_count", "source_repo"])
     rank = F.struct(
         F.coalesce("has_chords", F.lit(False)).alias("a"),
         F.coalesce("chord_count", F.lit(0)).alias("b"),
@@ -35,7 +38,8 @@ def survivors(groups: DataFrame, songs: DataFrame) -> DataFrame:
         trust(F.col("source_repo")).alias("d"),
         (-F.col("song_index")).alias("e"),
     )
-    best = rows.groupBy("group_id").agg(F.max(rank).alias("r"), F.min("song_index").alias("lo"), F.max("song_index").alias("hi"))
+    rows = group_songs(groups, songs, {"r": rank})
+    best = rows.groupBy("group_id").agg(F.max("r").alias("r"), F.min("song_index").alias("lo"), F.max("song_index").alias("hi"))
     return best.where("lo < hi").select("group_id", (-F.col("r.e")).alias("song_index"))
 
 
@@ -45,14 +49,14 @@ def golden_records(groups: DataFrame, songs: DataFrame, attributes: list[str], p
     Every attribute is the maximum of one composite struct and all are found in the same aggregation. Empty text counts
     as missing. An attribute that no member has is null.
     """
-    rows = group_songs(groups, songs.withColumn("_p", priority).withColumn("_t", timestamp), [*attributes, "_p", "_t"])
     types = dict(songs.select(*attributes).dtypes)
 
     def composite(c: str) -> Column:
         value = F.when(F.col(c) != "", F.col(c)) if types[c] == "string" else F.col(c)
-        return F.max(F.struct(value.isNotNull().alias("k"), F.col("_p"), F.col("_t"), (-F.col("song_index")).alias("i"), value.alias("v"))).alias(c)
+        return F.struct(value.isNotNull().alias("k"), priority.alias("p"), timestamp.alias("t"), (-F.col("song_index")).alias("i"), value.alias("v"))
 
-    best = rows.groupBy("group_id").agg(*[composite(c) for c in attributes], F.countDistinct("song_index").alias("members"))
+    rows = group_songs(groups, songs, {c: composite(c) for c in attributes})
+    best = rows.groupBy("group_id").agg(*[F.max(c).alias(c) for c in attributes], F.count(F.lit(1)).alias("members"))
     return best.select("group_id", *[F.col(f"{c}.v").alias(c) for c in attributes], "members")
 
 
