@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stanzaflow.operators.bitmap import bitmap_filter
+from stanzaflow.operators.bitmap import bitmap_filter, bitmaps_for
 from stanzaflow.operators.skew import HOT_ROWS, hottest, materialize, once, skew_join
 
 #: Letters whose counts make up the histogram: frequent ones of the scripts that occur.
@@ -46,20 +46,21 @@ def with_cheap_class(songs: DataFrame) -> DataFrame:
 def copy_keys(songs: DataFrame) -> DataFrame:
     """(song_index, copy_key) of the songs that share their cheap class with another song.
 
-    First every song gets its cheap class, and only (class, smallest and largest index) are shuffled. Songs whose class
-    has one member are dropped by a bitmap and an exact join that spreads hot classes; the costlier key, a SHA-256 over title words and
-    sorted sections, is made for the rest alone.
+    First every song gets its cheap class, and only (song_index, class) is kept. The songs of classes with several members
+    become a bitmap of song ids, which the texts are filtered by where they lie; the costlier key, a SHA-256 over title
+    words and sorted sections, is made for those alone. A song that passes by a shared bit has a key of its own, since equal
+    keys mean equal classes. Hot classes are spread over tasks.
     """
     rows = songs.select("song_index", "title", "plain_lyrics").where("song_index is not null")
-    rows = with_cheap_class(rows)
-    counted = rows.groupBy("class").agg(F.min("song_index").alias("lo"), F.max("song_index").alias("hi"), F.count(F.lit(1)).alias("n"))
-    several = materialize(counted.where("class is not null and lo < hi").select("class", "n"))
+    classes = materialize(with_cheap_class(rows).where("class is not null").select("song_index", "class").distinct())
+    counted = classes.groupBy("class").agg(F.min("song_index").alias("lo"), F.max("song_index").alias("hi"), F.count(F.lit(1)).alias("n"))
+    several = materialize(counted.where("lo < hi").select("class", "n"))
     hot = hottest(several.select(F.col("class").alias("k"), "n"), HOT_ROWS)
-    several = several.select("class")
-    likely = bitmap_filter(rows, "class", several)
+    members = materialize(skew_join(classes, several.select("class"), "class", hot=hot).select("song_index"))
+    likely = bitmap_filter(rows, "song_index", members, bitmaps_for(members.count()))
     text = F.concat_ws("\u0001", title_words(F.col("title")), F.concat_ws("\u0002", section_keys(F.col("plain_lyrics"))))
-    keyed = likely.select("song_index", "class", F.sha2(F.encode(text, "utf-8"), 256).alias("copy_key"))
-    return materialize(skew_join(keyed, several, "class", hot=hot).select("song_index", "copy_key").distinct())
+    keyed = likely.select("song_index", F.sha2(F.encode(text, "utf-8"), 256).alias("copy_key"), (F.size(section_keys(F.col("plain_lyrics"))) > 0).alias("full"))
+    return materialize(keyed.where("full").select("song_index", "copy_key").distinct())
 
 
 def collapse(songs: DataFrame) -> tuple[DataFrame, DataFrame]:
