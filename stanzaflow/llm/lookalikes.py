@@ -123,7 +123,8 @@ class Canonical:
 
         forms = DISGUISES if forms is None else forms
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "600MB"})
-        self.con.execute("SET VARIABLE forms = MAP {" + ", ".join(f"{_quote(a)}: {_quote(b)}" for a, b in forms.items()) + "}")
+        self.con.register("forms", pa.table({"form": list(forms), "plain": list(forms.values())}))
+        self.con.execute("SET VARIABLE forms = (SELECT map(list(form), list(plain)) FROM forms)")
         self.sql = canonical_sql("t", "batch", forms)
 
     def __call__(self, texts: pa.Array) -> pa.Array:
