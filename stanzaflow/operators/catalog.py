@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.functions import text as T
-from stanzaflow.operators.skew import once
+from stanzaflow.operators.skew import once, pair_join
 
 # Thresholds, source roles, and the folder of each class.
 CLEAN, REVIEW = 0.96, 0.65
@@ -20,9 +20,10 @@ FOLDERS = {
 
 def conflict_pairs(scores: DataFrame, songs: DataFrame, review: float = REVIEW) -> DataFrame:
     """Scored pairs of songs with the same non-empty normalised title and an identity below ``review``."""
-    t = songs.select("song_index", "normalized_title").where("normalized_title <> ''")
+    t = songs.select("song_index", "normalized_title").where("normalized_title <> ''").dropDuplicates(["song_index"])
     side = lambda p: t.select(F.col("song_index").alias(p), F.col("normalized_title").alias(f"t{p}"))
-    return scores.where(F.col("lyric_identity_score") < review).join(side("a"), "a").join(side("b"), "b").where("ta = tb").drop("ta", "tb")
+    rows = scores.where(F.col("lyric_identity_score") < review)
+    return pair_join(rows, side("a"), side("b")).where("ta = tb").select(*scores.columns)
 
 
 def conflict_songs(conflicts: DataFrame) -> DataFrame:
@@ -35,7 +36,8 @@ def best_pairs(members: DataFrame, scores: DataFrame) -> DataFrame:
     m = members.select("song_index", "group_min")
     a = m.select(F.col("song_index").alias("a"), "group_min")
     b = m.select(F.col("song_index").alias("b"), F.col("group_min").alias("gb"))
-    inside = scores.where("lyric_identity_score is not null").join(a, "a").join(b, "b").where("group_min = gb")
+    rows = scores.where("lyric_identity_score is not null").select("a", "b", "lyric_identity_score", "lyric_score", "line_coverage_max")
+    inside = pair_join(rows, a, b).where("group_min = gb")
     best = F.max(F.struct("lyric_identity_score", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"), "lyric_score", "line_coverage_max")).alias("p")
     return inside.groupBy("group_min").agg(best).select(
         "group_min", (-F.col("p.na")).alias("best_a"), (-F.col("p.nb")).alias("best_b"), F.col("p.lyric_identity_score").alias("best_identity"), F.col("p.lyric_score").alias("best_lyric"), F.col("p.line_coverage_max").alias("best_coverage")

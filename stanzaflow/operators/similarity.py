@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stanzaflow.functions.text import tokens
-from stanzaflow.operators.skew import hot_keys, skew_join
+from stanzaflow.operators.skew import pair_join, skew_join
 
 # Thresholds and weights of the score.
 LINE_MATCH, STRONG, POSSIBLE = 0.82, 0.86, 0.65
@@ -112,7 +112,7 @@ def pair_sides(pairs: DataFrame, songs: DataFrame, columns: list[str]) -> DataFr
     """
     one = songs.dropDuplicates(["song_index"]).select("song_index", *columns)
     side = lambda p: one.select(F.col("song_index").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in columns])
-    return skew_join(skew_join(pairs, side("a"), "a"), side("b"), "b", hot=hot_keys(pairs, "b")).select("a", "b", *[c for c in pairs.columns if c not in ("a", "b")], *[f"{p}_{c}" for p in "ab" for c in columns])
+    return pair_join(pairs, side("a"), side("b")).select("a", "b", *[c for c in pairs.columns if c not in ("a", "b")], *[f"{p}_{c}" for p in "ab" for c in columns])
 
 
 def _mapped(rows: DataFrame, columns: list[str], function, kind: pa.DataType, sql: str, name: str) -> DataFrame:

@@ -95,6 +95,18 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", h
     return out
 
 
+def pair_join(pairs: DataFrame, right_a: DataFrame, right_b: DataFrame) -> DataFrame:
+    """Pairs (a, b) joined with one row per ``a`` and one per ``b``; an end that is in very many pairs is met by a broadcast.
+
+    The hot ends of both sides are counted in one job.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct(F.lit(0).alias("s"), F.col("a").alias("k")), F.struct(F.lit(1).alias("s"), F.col("b").alias("k")))).alias("e"))
+    counts = ends.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_ROWS).orderBy(F.desc("n")).limit(HOT_KEYS)
+    hot = [r["e"] for r in counts.collect()]
+    both = skew_join(pairs, right_a, "a", hot=[e["k"] for e in hot if e["s"] == 0 and e["k"] is not None])
+    return skew_join(both, right_b, "b", hot=[e["k"] for e in hot if e["s"] == 1 and e["k"] is not None])
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later expressions use several times, evaluated once per row.
 

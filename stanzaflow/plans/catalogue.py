@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stanzaflow.functions import text as T
 from stanzaflow.operators import catalog as C
 from stanzaflow.operators import graph as G
+from stanzaflow.operators import similarity as M
 from stanzaflow.operators.skew import materialize
 from stanzaflow.plans import sql as S
 from stanzaflow.plans.pairs import GROUPS_SQL, SCORES_SQL, SONGS_SQL, edges_of, scores_of, songs_of
@@ -88,10 +89,8 @@ def prj1_groups(spark, d):
 
 
 def prj1_pairs(spark, d):
-    s = scores_of(spark, d)
-    one = songs_of(spark, d).select("song_index", "title", "source_repo", "source_path")
-    side = lambda p: one.select(F.col("song_index").alias(p), F.col("title").alias(f"{p}_title"), F.col("source_repo").alias(f"{p}_source"), F.col("source_path").alias(f"{p}_path"))
-    return s.join(side("a"), "a").join(side("b"), "b").select(
+    both = M.pair_sides(scores_of(spark, d), songs_of(spark, d), ["title", "source_repo", "source_path"])
+    return both.withColumnsRenamed({f"{p}_{c}": f"{p}_{n}" for p in "ab" for c, n in (("source_repo", "source"), ("source_path", "path"))}).select(
         F.col("a").alias("a_index"), F.col("b").alias("b_index"), "a_title", "b_title", "a_source", "b_source", "a_path", "b_path", "title_score", "lyric_score", "line_coverage_a_in_b", "line_coverage_b_in_a",
         "line_coverage_max", "line_coverage_min", "lyric_identity_score", "final_score", "shared_line_count", "decision_hint", F.col("cache_hit").cast("int").alias("cache_hit"),
     )

@@ -66,17 +66,16 @@ def build(spark: SparkSession, roots: dict[str, str], out: str, config: RunConfi
     report(catalog.inventory(songs).withColumnRenamed("song_index", "index"), "01_inventory_all", ["index", "title", "artist", "author", "source_repo", "source_format", "source_path", "file_hash", "source_meta", "has_chords", "chord_count", "line_count", "parse_status", "parse_error"])
     groups = named.join(best.select("group_min", "best_identity", "best_lyric", "best_coverage"), "group_min", "left").join(classified.select("group_min", F.col("members").alias("member_count")), "group_min").join(catalog.member_text(members, songs), "group_min")
     groups = groups.select("group_id", F.col("class").alias("classification"), F.col("folder").alias("classification_folder"), "member_count", F.col("title").alias("canonical_title"), F.col("source_repo").alias("canonical_source_repo"), F.col("source_path").alias("canonical_source_file"),
-                           *[F.round(c, 6).alias(n) for c, n in (("best_identity", "best_lyric_identity_score"), ("best_lyric", "best_lyric_score"), ("best_coverage", "best_line_coverage_max"))], "members")
+                           *[T.round_even(F.col(c)).alias(n) for c, n in (("best_identity", "best_lyric_identity_score"), ("best_lyric", "best_lyric_score"), ("best_coverage", "best_line_coverage_max"))], "members")
     report(groups, "02_match_groups", groups.columns)
     picked = named.select("group_id", F.col("class").alias("classification"), "export_path", F.col("reason").alias("canonical_reason"), "title", "artist", "author", "source_repo", "source_format", "source_path", "file_hash", "has_chords", "chord_count", "line_count")
     report(picked, "03_canonical_selection", picked.columns)
 
     def pair_rows(pairs: DataFrame) -> DataFrame:
-        one = songs.select("song_index", "title", "source_repo", "source_path")
-        side = lambda p: one.select(F.col("song_index").alias(p), F.col("title").alias(f"{p}_title"), F.col("source_repo").alias(f"{p}_source"), F.col("source_path").alias(f"{p}_path"))
-        rows = pairs.join(side("a"), "a").join(side("b"), "b").withColumnsRenamed({"a": "a_index", "b": "b_index"})
+        both = similarity.pair_sides(pairs, songs, ["title", "source_repo", "source_path"])
+        rows = both.withColumnsRenamed({"a": "a_index", "b": "b_index"} | {f"{p}_{c}": f"{p}_{n}" for p in "ab" for c, n in (("source_repo", "source"), ("source_path", "path"))})
         kinds = dict(rows.dtypes)
-        return rows.select(*[F.round(c, 6).alias(c) if kinds[c] == "double" else F.col(c) for c in PAIR_REPORT])
+        return rows.select(*[T.round_even(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in PAIR_REPORT])
 
     report(pair_rows(scores), "07_group_pair_scores", PAIR_REPORT)
     report(pair_rows(conflicts), "08_same_title_different_lyrics", PAIR_REPORT)

@@ -9,12 +9,13 @@ from stanzaflow.operators import catalog as C
 from stanzaflow.operators import diff as D
 from stanzaflow.operators import graph as G
 from stanzaflow.operators import review as R
+from stanzaflow.operators.similarity import pair_sides
 from stanzaflow.plans import sql as S
 from stanzaflow.plans.catalogue import _CLASS_SQL, _classified, _members, agg8_member_text, prj1_pairs
 from stanzaflow.plans.pairs import GROUPS_SQL, SCORES_SQL, SONGS_SQL, scores_of, songs_of
 from stanzaflow.sources import files as FS
 from stanzaflow.sources import sinks
-from stanzaflow.operators.skew import materialize, skew_join
+from stanzaflow.operators.skew import materialize, pair_join
 from stanzaflow.sources.tables import table
 
 _c = F.col
@@ -63,7 +64,8 @@ def joi7_title_index(spark, d):
 def joi8_group_pairs(spark, d):
     m = materialize(_members(spark, d))
     a, b = m.select(_c("song_index").alias("a"), "group_min"), m.select(_c("song_index").alias("b"), _c("group_min").alias("gb"))
-    return scores_of(spark, d).join(a, "a").join(b, "b").where("group_min = gb").select("group_min", "a", "b", "final_score")
+    p = scores_of(spark, d).select("a", "b", "final_score")
+    return pair_join(p, a, b).where("group_min = gb").select("group_min", "a", "b", "final_score")
 
 
 def joi6_groups_with_exports(spark, d):
@@ -96,7 +98,7 @@ def _texts(spark, d):
     one = songs_of(spark, d).select("song_index", F.concat_ws("\n", F.concat(F.lit("Title: "), T.text(_c("title"))), T.text(_c("chordpro_body"))).alias("t"), T.text(_c("title")).alias("title"))
     p = scores_of(spark, d).select("a", "b", _c("lyric_identity_score").alias("identity"))
     side = lambda x: one.select(_c("song_index").alias(x), _c("t").alias(f"t{x}"), _c("title").alias(f"title_{x}"))
-    return skew_join(skew_join(p, side("a"), "a"), side("b"), "b")
+    return pair_join(p, side("a"), side("b"))
 
 
 def pair_class(a_title, b_title, identity):
@@ -133,10 +135,8 @@ def lim3_first_two_members(spark, d):
 
 
 def dif5_side_tags(spark, d):
-    p = scores_of(spark, d).select("a", "b")
-    one = songs_of(spark, d).select("song_index", "lyric_lines")
-    both = p.join(one.select(_c("song_index").alias("a"), _c("lyric_lines").alias("la")), "a").join(one.select(_c("song_index").alias("b"), _c("lyric_lines").alias("lb")), "b")
-    rows = both.select("a", "b", "lb", F.explode("la").alias("line"))
+    both = pair_sides(scores_of(spark, d).select("a", "b"), table(spark, d, "songs"), ["lyric_lines"])
+    rows = both.select("a", "b", _c("b_lyric_lines").alias("lb"), F.explode("a_lyric_lines").alias("line"))
     return rows.select("a", "b", "line", F.when(F.array_contains("lb", _c("line")), "both").otherwise("a_only").alias("tag"))
 
 

@@ -9,7 +9,7 @@ from stanzaflow.operators import blocking as B
 from stanzaflow.operators import catalog as C
 from stanzaflow.operators import diff as D
 from stanzaflow.operators.changes import VersionedTable
-from stanzaflow.operators.skew import materialize, once, scratch, skew_join
+from stanzaflow.operators.skew import materialize, once, pair_join, scratch, skew_join
 from stanzaflow.plans import sql as S
 from stanzaflow.plans.catalogue import _CLASS_SQL, _classified, _members, prj1_pairs
 from stanzaflow.plans.catalogue import ORACLE as CATALOGUE_SQL
@@ -105,7 +105,7 @@ def _keyed_pairs(spark, d):
     text = F.concat_ws("\n", F.concat(F.lit("Title: "), T.text(_c("title"))), T.text(_c("chordpro_body")))
     h = songs_of(spark, d).select("song_index", T.text(_c("title")).alias("title"), text.alias("text"), F.when(T.text(_c("file_hash")) != "", _c("file_hash")).otherwise(F.sha2(F.encode(text, "utf-8"), 256)).alias("h"))
     side = lambda p: h.select(_c("song_index").alias(p), *[_c(c).alias(f"{p}_{c}") for c in ("title", "text", "h")])
-    p = skew_join(skew_join(scores_of(spark, d).select("a", "b", "lyric_identity_score"), side("a"), "a"), side("b"), "b")
+    p = pair_join(scores_of(spark, d).select("a", "b", "lyric_identity_score"), side("a"), side("b"))
     p = p.withColumn("classification", pair_class(_c("a_title"), _c("b_title"), _c("lyric_identity_score")))
     return p.withColumn("diff_key", D.diff_key(_c("a_h"), _c("b_h"), _c("classification")))
 
@@ -140,7 +140,7 @@ def rem4_sides(spark, d):
     """Both sides of every scored pair as rows with a marker."""
     one = songs_of(spark, d).select("song_index", "source_repo", "title", "source_path")
     rows = scores_of(spark, d).select("a", "b", F.explode(F.array(F.struct(F.lit("A").alias("marker"), _c("a").alias("song_index")), F.struct(F.lit("B").alias("marker"), _c("b").alias("song_index")))).alias("s")).select("a", "b", "s.*")
-    return rows.join(one, "song_index").select("a", "b", "marker", "source_repo", "title", "source_path")
+    return skew_join(rows, one, "song_index").select("a", "b", "marker", "source_repo", "title", "source_path")
 
 
 def rem9_title_lookups(spark, d):

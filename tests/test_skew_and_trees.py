@@ -54,6 +54,15 @@ def test_skew_join_splits_any_number_of_hot_keys(spark):
     assert skew.skew_join(left, right, "k", "left", hot=hot[:299]).count() == 3000
 
 
+def test_pair_join_splits_hot_ends(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 20)
+    pairs = spark.range(200).selectExpr("id % 7 as a", "case when id < 100 then 1000 else id end as b", "id as n").unionByName(spark.createDataFrame([(None, 3, 0), (1, None, 0)], "a bigint, b bigint, n bigint"))
+    one = spark.range(2000).selectExpr("id as a", "id * 2 as va")
+    other = spark.range(2000).selectExpr("id as b", "id * 3 as vb")
+    got = skew.pair_join(pairs, one, other)
+    assert got.count() == 200 and got.where("va <> 2 * a or vb <> 3 * b").count() == 0
+
+
 def test_shared_folder(spark):
     folder = skew.shared_folder(spark)
     assert folder == skew.shared_folder(spark) and skew.scratch(spark, "x").startswith(folder)
