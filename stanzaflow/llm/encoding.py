@@ -47,7 +47,14 @@ PAIRS = [
     ("mac_roman", "latin-1", ""),
     ("cp1252", "utf-16-le", ""),
     ("cp1252", "utf-8", ""),
+    ("cp852", "cp1252", ""),
+    ("cp1252", "cp437", ""),
+    ("cp1252", "cp850", ""),
+    ("cp1252", "mac_roman", ""),
+    ("cp1252", "cp1250", ""),
 ]
+#: Pairs whose images are mostly ordinary letters, so that other damage is easily taken for them: they take more evidence.
+RARE = PAIRS[-5:]
 #: Cost of entering and of leaving a garbled state, and of each plain character inside one, in nats. A state whose
 #: true encoding is of another script garbles whole words, so it takes more evidence to enter.
 ENTER, LEAVE, STAY = 5.0, 1.5, 0.03
@@ -335,7 +342,7 @@ def fit(samples: list[str]) -> Model:
     by_prev = np.stack([total[0] - t for t in total[1:]], axis=1).astype(np.float32)
     base = numerator(0) - total[0][prev]
     rows = np.stack([numerator(i) - total[i][prev] - base for i in range(1, len(states))], axis=1)
-    enter = np.array([ENTER_OTHER if p[0] in OTHER_SCRIPT else ENTER for p in PAIRS], np.float32)
+    enter = np.array([ENTER_OTHER if p[0] in OTHER_SCRIPT or p in RARE else ENTER for p in PAIRS], np.float32)
     model = Model(lut, kinds, seen, rules(rows, prev, cur).astype(np.float16), by_kind, by_prev, np.empty((n, n), np.float16), rules, PAIRS, enter)
     every = np.arange(n)
     for k in range(n):
@@ -433,21 +440,32 @@ def spans(path: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, int(path[a])) for a, b in zip(cut, cut[1:], strict=False) if path[a]]
 
 
+def _sequences_of(part: str, pairs: set[tuple[str, str, str]]) -> str:
+    """A text with its runs of other than ASCII characters restored where one of the pairs restores all of them."""
+
+    def back(run: re.Match) -> str:
+        return next((x for x, whole, found in (restored(run[0], p) for p in sorted(pairs)) if whole and found), run[0])
+
+    return re.sub(r"[^\x00-\x7f]{2,}", back, part) if pairs and not part.isascii() else part
+
+
 def repair(model: Model, text: str, path: np.ndarray) -> tuple[str, bool, list[int]]:
     """The text with every labelled stretch passed through its state's inverse, whether all of it could be restored, and
     the states used. A stretch without a sequence of its encoding, one that the inverse leaves alone, and one whose inverse
-    mixes scripts within a word are not garbled and stay."""
+    mixes scripts within a word are not garbled and stay. Between the stretches, runs that are whole UTF-8 sequences of a state
+    used in the text get its inverse too: the samples need not have held their characters."""
     out, done, whole, used = [], 0, True, []
     for a, b, s in spans(path):
         back, ok, found = restored(text[a:b], model.pairs[s - 1])
         mixed = model.pairs[s - 1][0] in OTHER_SCRIPT and _MIXED.search(back)
         if found and not mixed and (back != text[a:b] or model.pairs[s - 1][1] == "utf-8"):
-            out += [text[done:a], back]
+            out += [(text[done:a], True), (back, False)]
             done = b
             whole &= ok
             used.append(s)
-    out.append(text[done:])
-    return "".join(out), whole, used
+    out.append((text[done:], True))
+    again = {model.pairs[s - 1] for s in used if model.pairs[s - 1][0] == "utf-8" and model.pairs[s - 1][1] in _TABLES and not model.pairs[s - 1][2]}
+    return "".join(_sequences_of(part, again) if gap else part for part, gap in out), whole, used
 
 
 def clean_mask(model: Model, texts: list[str]) -> dict[int, np.ndarray]:
