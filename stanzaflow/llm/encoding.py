@@ -287,6 +287,8 @@ def fit(samples: list[str]) -> Model:
             lut[o] = styled
         elif _pair_of_ascii(o) and not 0xAC00 <= o <= 0xD7A3:
             lut[o] = ascii16
+    for c in "\t\u2007\u2009\u202f\u3000":  # typed spaces of other widths begin a word as the ordinary one does
+        lut[ord(c)] = ids[" "]
     kinds = np.array([_kind(c) for c in single] + [2, 5, 6, 5])
 
     def counted(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -43,7 +43,7 @@ def test_misread_text_is_found_and_restored(model, lines):
 
 
 def test_clean_text_is_left_alone(model, lines):
-    held = [v for i, (_, t) in enumerate(lines) if i % 2 == 0 for v in (t, t.upper(), t.replace("'", "’"))]
+    held = [v for i, (_, t) in enumerate(lines) if i % 2 == 0 for v in (t, t.upper(), t.replace("'", "’"), t.title().replace(" ", "\t"), t.replace(" ", "\u3000"))]
     wrong = [i for i, p in encoding.clean_mask(model, held).items() if encoding.repair(model, held[i], p)[2]]
     assert len(wrong) / len(held) < 0.01
 
