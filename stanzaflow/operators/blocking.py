@@ -94,8 +94,7 @@ def candidate_classes(songs: DataFrame, caps: dict[str, int] | None = None) -> D
 
 def candidate_links(pairs: DataFrame) -> DataFrame:
     """(id, links): of every song that is in a pair the number of its candidates."""
-    both = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id")))
-    return both.groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
 
 
 def _block_pairs(keys: DataFrame, caps: dict[str, int]) -> DataFrame:
@@ -145,7 +144,7 @@ def covered_links(songs: DataFrame, caps: dict[str, int] | None = None) -> DataF
     """(id, links): of every song that shares a bucket of any size the number of its candidates, without listing them."""
     members, pairs = covered_classes(songs, caps)
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.unionAll(pairs.select("b", "a")).toDF("rep", "other")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("e")).select("e.*")
     others = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("others"))
     links = sizes.join(others, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
     return skew_join(members, links, "rep").where("links > 0").select("id", "links")

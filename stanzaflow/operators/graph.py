@@ -12,7 +12,8 @@ def linked_labels(edges: DataFrame) -> DataFrame:
     """(v, label) of every vertex of undirected edges (a, b): the smallest vertex it reaches.
 
     Alternates large-star and small-star steps: every vertex links its larger, then its smaller neighbours to the
-    smallest of them, until the edges are stars. Each step is one aggregation and one join that splits hot keys.
+    smallest of them, until the edges are stars. Each step is one aggregation and one join that splits hot keys. Fewer
+    edges than HOT_ROWS / 2 can have no hub, so none is looked for.
     """
     now = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     before = None
@@ -25,7 +26,7 @@ def linked_labels(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
         large = skew_join(both.where("u > v"), least, "v", hot=hot).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
-        large = materialize(large)
+        large = large if hot == [] else materialize(large)  # with hubs to look for it is read once more
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = skew_join(large, least, "v", hot=hot)
         now = materialize(small.where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u"))).distinct())
@@ -52,11 +53,9 @@ def global_rank(df: DataFrame, key: str, name: str) -> DataFrame:
     for part, n in counts:
         offsets.append((part, before))
         before += n
-    if not offsets:
-        return placed.drop("_part").withColumn(name, F.lit(0).cast("bigint"))
-    start = F.create_map(*[F.lit(x) for pair in offsets for x in pair])[F.col("_part")]
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_part int, _start bigint"))  # a row per range
     place = F.row_number().over(Window.partitionBy("_part").orderBy(key))
-    return placed.withColumn(name, (place + start).cast("bigint")).drop("_part")
+    return placed.withColumn("_place", place).join(starts, "_part").select(*df.columns, (F.col("_place") + F.col("_start")).cast("bigint").alias(name))
 
 
 def group_ids(members: DataFrame) -> DataFrame:
