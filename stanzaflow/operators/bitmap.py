@@ -14,21 +14,28 @@ def bitmaps_for(rows: int) -> int:
     return max(BITMAPS, min(MOST_BITMAPS, -(-rows * 16 // BITS)))
 
 
-def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bitmaps: int = BITMAPS) -> DataFrame:
-    """Rows of ``df`` whose bigint ``column`` may occur in ``wanted`` (one bigint column of the same name).
+def _bits(wanted: DataFrame, column: str, bitmaps: int) -> DataFrame:
+    """At most ``bitmaps`` rows (_map, _bits): the bitmap built where the wanted rows lie and merged by OR."""
+    slot = F.pmod(F.col(column), F.lit(bitmaps * BITS))
+    bits = wanted.select(F.floor(slot / BITS).cast("int").alias("_map"), F.pmod(slot, F.lit(BITS)).alias("_bit")).where("_bit is not null")
+    return bits.groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def bitmap_flag(df: DataFrame, column: str, wanted: DataFrame, name: str, bitmaps: int = BITMAPS) -> DataFrame:
+    """Adds ``name``: whether the bigint ``column`` may occur in ``wanted`` (one bigint column of the same name).
 
-    The bitmap is built where the wanted rows lie, merged by OR and broadcast: at most ``bitmaps`` rows of 4 KB however
-    large either side is. Rows pass that only share a bit, so an exact join has to follow; no wanted row is lost. Rows
-    with a null pass never. A filled bitmap lets everything pass and costs only its megabyte.
+    The bitmap is broadcast: at most ``bitmaps`` rows of 4 KB however large either side is. A row that only shares a bit
+    is flagged too; no wanted row is missed. A null is never flagged. With a filled bitmap all rows are flagged, and it
+    costs only its megabytes.
     """
     slot = F.pmod(F.col(column), F.lit(bitmaps * BITS))
-    bits = (
-        wanted.select(F.floor(slot / BITS).cast("int").alias("_map"), F.pmod(slot, F.lit(BITS)).alias("_bit"))
-        .where("_bit is not null")
-        .groupBy("_map")
-        .agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    )
     rows = df.withColumn("_map", F.floor(slot / BITS).cast("int")).withColumn("_bit", F.pmod(slot, F.lit(BITS)).cast("int"))
-    joined = rows.join(F.broadcast(bits), "_map")
+    joined = rows.join(F.broadcast(_bits(wanted, column, bitmaps)), "_map", "left")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.where(F.getbit(byte, F.pmod(F.col("_bit"), F.lit(8)).cast("int")) == 1).drop("_map", "_bit", "_bits")
+    hit = F.coalesce(F.getbit(byte, F.pmod(F.col("_bit"), F.lit(8)).cast("int")) == 1, F.lit(False))
+    return joined.withColumn(name, hit).drop("_map", "_bit", "_bits")
+
+
+def bitmap_filter(df: DataFrame, column: str, wanted: DataFrame, bitmaps: int = BITMAPS) -> DataFrame:
+    """Rows of ``df`` that ``bitmap_flag`` flags; an exact join has to follow where that matters."""
+    return bitmap_flag(df, column, wanted, "_likely", bitmaps).where("_likely").drop("_likely")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stanzaflow.operators.bitmap import bitmap_flag
+from stanzaflow.operators.skew import materialize
+
 CHUNK_ROWS = 8_192
 FAN_IN = 16
 
@@ -17,65 +20,66 @@ def n_chunks(rows: int, chunk_rows: int = CHUNK_ROWS) -> int:
     return max(1, -(-rows // chunk_rows))
 
 
-def with_chunk(df: DataFrame, identity: str, chunks: int, as_name: str = "_chunk") -> DataFrame:
-    """Place every record in a chunk by a hash of its identity, so repeated deliveries of a record meet in one chunk.
+def tree_aggregate(rows: DataFrame, keys: list[str], states: dict[str, tuple[str, Column]], chunks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """Aggregate ``rows`` by ``keys``; ``states`` maps a result name to (sum|max|min, expression per record).
 
-    The chunk depends on the record alone; a recomputed task gives the same chunks. A null identity has a chunk like any other.
-    """
-    placed = df.withColumn(as_name, F.pmod(F.xxhash64(F.col(identity)), F.lit(chunks)).cast("int"))
-    return placed.repartition(F.col(as_name))
-
-
-def tree_aggregate(chunked: DataFrame, keys: list[str], states: dict[str, tuple[str, Column]], chunks: int, fan_in: int = FAN_IN, chunk: str = "_chunk") -> DataFrame:
-    """Aggregate ``chunked`` by ``keys``; ``states`` maps a result name to (sum|max|min, expression per record).
-
-    Level 0 combines each chunk where it lies, without a further shuffle. Each later level merges the states of
-    ``fan_in`` neighbouring buckets, ceil(log_fan_in(chunks)) levels in all, so one reducer reads at most ``fan_in``
-    partial states of a key however many records the key has. Null keys form a group of their own; an empty input
-    gives an empty result.
+    A chunk is an input partition, numbered modulo ``chunks``; it is combined where it lies, before anything is shuffled.
+    Each round merges the states of ``fan_in`` neighbouring chunks, ceil(log_fan_in(chunks)) rounds in all and one at least,
+    so one reducer reads about ``fan_in`` partial states of a key however many records the key has. Which chunk a record
+    is in does not matter for the result. Null keys form a group of their own; an empty input gives an empty result.
     """
     if fan_in < 2:
         raise ValueError("fan_in must be at least 2")
-    state = chunked.groupBy(F.col(chunk).alias("_bucket"), *keys).agg(*[MERGES[kind](e).alias(name) for name, (kind, e) in states.items()])
+    state = rows.select(F.pmod(F.spark_partition_id(), F.lit(chunks)).alias("_bucket"), *keys, *[e.alias(name) for name, (_, e) in states.items()])
     left = chunks
-    while left > 1:
+    while True:
         left = -(-left // fan_in)
         state = state.groupBy(F.floor(F.col("_bucket") / fan_in).cast("int").alias("_bucket"), *keys).agg(
             *[MERGES[kind](F.col(name)).alias(name) for name, (kind, _) in states.items()]
         )
-    return state.drop("_bucket")
+        if left == 1:
+            return state.drop("_bucket")
 
 
-def song_keys(songs: DataFrame, chunks: int) -> DataFrame:
-    """One row per chunk, song, field and key: the title and each distinct line of every song.
+def song_keys(songs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row per song, field and key: the title and each distinct line of every song.
 
+    ``ids`` (song_index, n) counts the deliveries of every song. Most were delivered once, and those are taken apart where they lie; a bitmap
+    tells them. The rest, with any that share a bit, are brought to one row per song and key, combined before the shuffle.
     A title that is null or empty gives no row, nor does a null or empty line.
     """
-    placed = with_chunk(songs.select("song_index", "normalized_title", "lyric_lines", "has_chords", "line_count"), "song_index", chunks)
+    rows = songs.select("song_index", "normalized_title", "lyric_lines", F.coalesce(F.col("has_chords").cast("int"), F.lit(0)).alias("chorded"), F.coalesce("line_count", F.lit(0)).alias("line_count"))
+    again = ids.where("n > 1").select("song_index")
+    flagged = bitmap_flag(rows, "song_index", again, "_again").withColumn("_again", F.col("_again") | F.col("song_index").isNull())
     title = F.array(F.struct(F.lit("normalized_title").alias("field_name"), F.col("normalized_title").alias("key_value")))
-    line = F.transform(F.coalesce("lyric_lines", F.array().cast("array<string>")), lambda x: F.struct(F.lit("lyric_lines").alias("field_name"), x.alias("key_value")))
-    rows = placed.select("_chunk", "song_index", "has_chords", "line_count", F.explode(F.concat(title, line)).alias("k"))
-    rows = rows.select("_chunk", "song_index", "k.field_name", "k.key_value", "has_chords", "line_count").where("key_value <> ''")
-    return rows.groupBy("_chunk", "song_index", "field_name", "key_value").agg(
-        F.max(F.coalesce(F.col("has_chords").cast("int"), F.lit(0))).alias("chorded"), F.max(F.coalesce("line_count", F.lit(0))).alias("line_count")
-    )
+    lines = F.array_distinct(F.coalesce("lyric_lines", F.array().cast("array<string>")))
+    line = F.transform(lines, lambda x: F.struct(F.lit("lyric_lines").alias("field_name"), x.alias("key_value")))
+    each = lambda df: df.select("song_index", F.explode(F.concat(title, line)).alias("k"), "chorded", "line_count").select("song_index", "k.*", "chorded", "line_count").where("key_value <> ''")
+    several = each(flagged.where("_again")).groupBy("song_index", "field_name", "key_value").agg(F.max("chorded").alias("chorded"), F.max("line_count").alias("line_count"))
+    return each(flagged.where("not _again")).unionByName(several).drop("song_index")
+
+
+def _counted(songs: DataFrame) -> tuple[DataFrame, int, int]:
+    """Deliveries of every song, and how many rows and how many songs there are."""
+    ids = materialize(songs.groupBy("song_index").agg(F.count(F.lit(1)).alias("n")))
+    rows, known = ids.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("song_index")).first()
+    return ids, rows, known
 
 
 def song_key_stats(songs: DataFrame, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Songs, chorded songs, summed and largest line count of every title and of every line."""
-    chunks = n_chunks(songs.count(), chunk_rows)
+    ids, rows, _ = _counted(songs)
     states = {
         "songs": ("sum", F.lit(1).cast("bigint")),
         "chorded": ("sum", F.col("chorded").cast("bigint")),
         "line_total": ("sum", F.col("line_count").cast("bigint")),
         "line_max": ("max", F.col("line_count").cast("bigint")),
     }
-    return tree_aggregate(song_keys(songs, chunks), ["field_name", "key_value"], states, chunks, fan_in)
+    return tree_aggregate(song_keys(songs, ids), ["field_name", "key_value"], states, n_chunks(rows, chunk_rows), fan_in)
 
 
 def frequent_song_keys(songs: DataFrame, percent: int = 3, chunk_rows: int = CHUNK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """Titles and lines that at least ``percent`` of all songs have. A song counts once, however often it was delivered."""
-    total = songs.agg(F.countDistinct("song_index")).first()[0]
-    chunks = n_chunks(songs.count(), chunk_rows)
-    counted = tree_aggregate(song_keys(songs, chunks), ["field_name", "key_value"], {"songs": ("sum", F.lit(1).cast("bigint"))}, chunks, fan_in)
+    ids, rows, total = _counted(songs)
+    counted = tree_aggregate(song_keys(songs, ids), ["field_name", "key_value"], {"songs": ("sum", F.lit(1).cast("bigint"))}, n_chunks(rows, chunk_rows), fan_in)
     return counted.where(F.col("songs") * 100 >= F.lit(percent * total)).select("field_name", "key_value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stanzaflow.operators import graph, ranks, skew
 from stanzaflow.operators import tree_aggregate as tree
 from stanzaflow.operators.bitmap import bitmap_filter
+from stanzaflow.sources import tables
 
 SONGS = "song_index bigint, normalized_title string, lyric_lines array<string>, has_chords boolean, line_count int, n bigint"
 
@@ -28,6 +29,27 @@ def test_tree_equals_flat_aggregation(spark):
         assert got == {k: len(v) for k, v in want.items()}
 
 
+def test_tree_takes_hot_and_repeated_songs(spark):
+    rows = [(1, "t", ["a"], True, 3, 1)] * 300 + [(i, "t" if i % 2 else "", [f"l{i % 5}"], None, None, 1) for i in range(2, 100)] + [(1, "late", ["b"], False, 9, 1)]
+    df = spark.createDataFrame(rows, SONGS).repartition(7)
+    got = {(r.field_name, r.key_value): (r.songs, r.chorded, r.line_total, r.line_max) for r in tree.song_key_stats(df, 3, 2).collect()}
+    assert got["normalized_title", "t"] == (50, 1, 3, 3) and got["normalized_title", "late"] == (1, 0, 9, 9)
+    assert got["lyric_lines", "a"] == (1, 1, 3, 3) and got["lyric_lines", "l3"][0] == len([i for i in range(2, 100) if i % 5 == 3])
+    assert {r.key_value for r in tree.frequent_song_keys(df, 40, 3, 2).collect()} == {"t"}
+
+
+def test_small_tables_are_spread_over_the_cores(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one.parquet"))
+    assert tables.row_groups(spark, str(tmp_path / "one.parquet"), 4)[0] == 0  # too small to look at
+    assert tables.table(spark, str(tmp_path), "one").rdd.getNumPartitions() == 1
+    monkeypatch.setattr(tables, "LEAST_BYTES", 1)
+    assert tables.row_groups(spark, str(tmp_path / "one.parquet"), 4)[0] == 1
+    df = tables.table(spark, str(tmp_path), "one")
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and df.count() == 1000
+    spark.range(1000).repartition(8).write.parquet(str(tmp_path / "many.parquet"))
+    assert tables.row_groups(spark, str(tmp_path / "many.parquet"), 4)[0] == 4
+
+
 def test_tree_on_empty_table(spark):
     empty = spark.createDataFrame([], SONGS)
     assert tree.song_key_stats(empty).count() == 0
