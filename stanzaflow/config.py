@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class RunConfig:
-    """Thresholds and caps of a run; the defaults are the fixed values of the rules."""
+    """Thresholds and caps of a run; the defaults are the fixed values of the rules. ``clear`` clears the folders that a run
+    writes, and no others, before it."""
 
     auto_identity: float = 0.86
     clean: float = 0.96
@@ -15,6 +16,7 @@ class RunConfig:
     title_cap: int = 500
     line_cap: int = 250
     dry_run: bool = False
+    clear: bool = False
     repos: dict[str, str] = field(default_factory=lambda: {"openlyrics": "repo_a", "onsong": "repo_b", "txt_chordpro": "repo_c"})
 
     @property

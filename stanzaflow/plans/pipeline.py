@@ -51,6 +51,8 @@ def build(spark: SparkSession, roots: dict[str, str], out: str, config: RunConfi
     Returns the summary. A dry run writes reports but no exports. No files give empty reports.
     """
     config = config or RunConfig()
+    if config.clear:
+        sinks.clear_folders(spark, out, [*catalog.FOLDERS.values(), "reports"])
     songs = materialize(parse_files(read_sources(spark, roots, config)))
     scores = materialize(similarity.score_pairs(blocking.covered_pairs(songs, config.caps), songs))
     members = materialize(graph.groups(songs, scores.where(F.col("lyric_identity_score") >= config.auto_identity).select("a", "b")))

@@ -51,6 +51,17 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def clear_folders(spark: SparkSession, out: str, names: list[str]) -> list[str]:
+    """Delete the named folders directly below ``out``, and nothing else; returns those that were there."""
+    gone = []
+    for n in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/{n}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if "/" not in n and n not in ("", ".", "..") and fs.exists(path) and fs.delete(path, True):
+            gone.append(n)
+    return gone
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str], latest: Column | None = None) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those of the same key, for writing to a new version.
 

@@ -62,5 +62,10 @@ def test_more_equal_songs_than_the_caps_are_one_group(spark, tmp_path):
     (tmp_path / "b").mkdir()
     for i in range(6):
         (tmp_path / f"b/{i}.onsong").write_text(sheet("Clean Song", lyrics(1)), encoding="utf-8")
-    summary = build(spark, {"onsong": str(tmp_path / "b")}, str(tmp_path / "out"), RunConfig(title_cap=5, line_cap=5, dry_run=True))
+    kept, old = tmp_path / "out/mine/x.txt", tmp_path / "out/01_clean_match_chordpro/old.chopro"
+    for f in (kept, old):
+        f.parent.mkdir(parents=True)
+        f.write_text("x")
+    summary = build(spark, {"onsong": str(tmp_path / "b")}, str(tmp_path / "out"), RunConfig(title_cap=5, line_cap=5, dry_run=True, clear=True))
+    assert kept.exists() and not old.exists()
     assert summary["source_count"] == 6 and summary["group_count"] == 1
