@@ -230,7 +230,7 @@ class Model:
     lut: class of each code point of the basic plane. A pair that the samples or their misread forms hold has a row in
     ``seen``, found by its code in ``codes``; any other backs off to ``kind`` of the first and the second character, plus a
     term of the first, so the model grows with the classes and the pairs of a bounded sample. ``best`` is the largest ratio of
-    each pair, two bytes.
+    each pair, two bytes, and ``easy`` that of the states that take less evidence to enter.
     """
 
     lut: np.ndarray
@@ -240,6 +240,7 @@ class Model:
     by_kind: np.ndarray
     by_prev: np.ndarray
     best: np.ndarray
+    easy: np.ndarray
     rules: Rules
     pairs: list[tuple[str, str, str]]
     enter: np.ndarray
@@ -345,36 +346,47 @@ def fit(samples: list[str]) -> Model:
     base = numerator(0) - total[0][prev]
     rows = np.stack([numerator(i) - total[i][prev] - base for i in range(1, len(states))], axis=1)
     enter = np.array([ENTER_OTHER if p[0] in OTHER_SCRIPT or p in RARE else ENTER for p in PAIRS], np.float32)
-    model = Model(lut, kinds, seen, rules(rows, prev, cur).astype(np.float16), by_kind, by_prev, np.empty((n, n), np.float16), rules, PAIRS, enter)
+    model = Model(lut, kinds, seen, rules(rows, prev, cur).astype(np.float16), by_kind, by_prev, np.empty((n, n), np.float16), np.empty((n, n), np.float16), rules, PAIRS, enter)
     every = np.arange(n)
     for k in range(n):
-        model.best[k] = model.gains(np.full(n, k), every).max(axis=1)
+        g = model.gains(np.full(n, k), every)
+        model.best[k], model.easy[k] = g.max(axis=1), g[:, enter < ENTER_OTHER].max(axis=1)
     return model
 
 
-def suspects(model: Model, texts: list[str]) -> list[int]:
-    """Texts whose best path may leave the clean state; for all others the clean path is certainly the best.
-
-    Upper bound: the largest sum over any stretch of the best state's gain per character must exceed the cost of
-    entering and leaving.
-    """
+def peaks(model: Model, best: np.ndarray, texts: list[str]) -> np.ndarray:
+    """The largest sum of ``best`` over any stretch of each text; 0 for an empty one."""
     sizes = np.array([len(t) for t in texts])
+    out = np.zeros(len(texts))
     full = np.flatnonzero(sizes)
     if not len(full):
-        return []
+        return out
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     k = model.lut[np.minimum(codes, 0xFFFF)].astype(np.int64)
     starts = np.cumsum(sizes[full]) - sizes[full]
     prev = np.empty_like(k)
     prev[1:] = k[:-1]
     prev[starts] = model.lut[10]
-    g = model.best.ravel()[prev * model.best.shape[1] + k].astype(np.float64)
+    g = best.astype(np.float64).ravel()[prev * best.shape[1] + k]
     c = np.cumsum(g)
     text = np.repeat(np.arange(len(full)), sizes[full])
     low = c - g - text * 1e6  # the running minimum never comes from an earlier text
     stretch = c - text * 1e6 - np.minimum.accumulate(low)
-    peak = np.maximum.reduceat(stretch, starts)
-    return full[peak > ENTER + LEAVE - 1e-3].tolist()
+    out[full] = np.maximum.reduceat(stretch, starts)
+    return out
+
+
+def suspects(model: Model, texts: list[str]) -> list[int]:
+    """Texts whose best path may leave the clean state; for all others the clean path is certainly the best.
+
+    A garbled stretch has one state, so its gain is at most the largest sum over any stretch of the best state's gain per
+    character, and that must exceed the cost of entering and leaving: of any state for the first bound, and for what
+    passes it the cost of the states that take more evidence, or the gain of the others alone.
+    """
+    first = peaks(model, model.best, texts)
+    some = np.flatnonzero(first > ENTER + LEAVE - 1e-3)
+    easy = peaks(model, model.easy, [texts[i] for i in some])
+    return some[(first[some] > ENTER_OTHER + LEAVE - 1e-3) | (easy > ENTER + LEAVE - 1e-3)].tolist()
 
 
 def label(model: Model, texts: list[str], block: int = 256) -> list[np.ndarray]:
