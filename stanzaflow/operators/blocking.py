@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stanzaflow.functions.text import WEAK_LINES
 from stanzaflow.operators.bitmap import bitmap_filter, bitmaps_for
-from stanzaflow.operators.skew import HOT_KEYS, HOT_ROWS, hottest, materialize, once, skew_join
+from stanzaflow.operators.skew import HOT_KEYS, HOT_ROWS, hottest, materialize, once, scratch, skew_join
+from stanzaflow.operators.unions import BLOCK_LINKS, union_weights
 
 #: By index: the largest bucket that ``candidate_pairs`` still takes, as in the reference, and the block of ``covered_pairs``.
 CAPS = {"title": 500, "compact": 500, "token": 500, "line": 250, "shingle": 250}
@@ -140,11 +141,34 @@ def covered_pairs(songs: DataFrame, caps: dict[str, int] | None = None) -> DataF
     return apart.unionByName(alike)
 
 
-def covered_links(songs: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
-    """(id, links): of every song that shares a bucket of any size the number of its candidates, without listing them."""
-    members, pairs = covered_classes(songs, caps)
-    sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("b").alias("other")), F.struct(F.col("b").alias("rep"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    others = both.join(sizes.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("others"))
-    links = sizes.join(others, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    return skew_join(members, links, "rep").where("links > 0").select("id", "links")
+def shared_sets(songs: DataFrame) -> DataFrame:
+    """(id, sets): of every song that shares a bucket its distinct buckets of at least two songs, as sorted 64-bit numbers.
+
+    The number of a bucket is made of its songs, so buckets of the same songs, such as the shingles of one line, are one:
+    two songs share a bucket if and only if they share a number. Keys are grouped by 96 bits of hash, so no text is shuffled. A bucket
+    has a song once, so even the largest is a small part of all rows. ``songs`` has one row per song.
+    """
+    none, kinds = F.array().cast("array<string>"), list(CAPS)
+    lists = [F.array("normalized_title"), F.array("compact_title"), *[F.array_distinct(F.coalesce(c, none)) for c in ("title_tokens", "lyric_lines", "lyric_shingles")]]
+    each = songs.where("song_index is not null").select(F.col("song_index").alias("id"), F.posexplode(F.array(*lists)).alias("kind", "keys")).select("id", "kind", F.explode("keys").alias("key"))
+    rows = each.where((F.col("key") != "") & ((F.col("kind") != kinds.index("line")) | (F.length("key") >= SHORTEST_LINE) & ~F.col("key").isin(WEAK_LINES)))
+    bucket = Window.partitionBy("h", "g")
+    hashed = rows.select("id", F.xxhash64("kind", "key").alias("h"), F.hash("key", "kind").alias("g"))
+    numbered = hashed.select("id", F.count(F.lit(1)).over(bucket).alias("n"), F.bit_xor(F.xxhash64("id")).over(bucket).alias("set")).where("n > 1")
+    return numbered.groupBy("id").agg(F.sort_array(F.collect_set("set")).alias("sets"))
+
+
+def covered_links(songs: DataFrame, caps: dict[str, int] | None = None, block_links: int = BLOCK_LINKS) -> DataFrame:
+    """(id, links): of every song that shares a bucket of any size the number of its candidates, without forming a pair.
+
+    Songs in the same buckets have the same candidates and are counted once, as one column with their number as weight.
+    ``caps`` are those of ``covered_pairs`` and change nothing here, as no bucket is split.
+    """
+    spark = songs.sparkSession
+    stored = lambda df, name: df.write.parquet(folder := scratch(spark, name)) or spark.read.parquet(folder)
+    lists = stored(shared_sets(songs).withColumn("class", F.sha2(F.array_join(F.col("sets").cast("array<string>"), " "), 256)), "sets")
+    ids = lists.select("id", "class")
+    members = materialize(skew_join(ids, ids.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "class").select("id", "rep", "n"))
+    one = lists.select("id", "sets").join(members.where("id = rep").select("id", "n"), "id")
+    unions = union_weights(stored(one.repartition(spark.sparkContext.defaultParallelism * 4, "id"), "classes"), block_links)
+    return skew_join(members.select("id", "rep"), unions.select(F.col("id").alias("rep"), (F.col("n") - 1).alias("links")), "rep").select("id", "links")

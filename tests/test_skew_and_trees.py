@@ -1,10 +1,11 @@
 """Tree aggregation, joins with hot keys, the bitmap filter, ranks and groups."""
 
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from stanzaflow.operators import graph, ranks, skew
+from stanzaflow.operators import graph, ranks, skew, unions
 from stanzaflow.operators import tree_aggregate as tree
 from stanzaflow.operators.bitmap import bitmap_filter
 from stanzaflow.sources import tables
@@ -85,6 +86,17 @@ def test_pair_join_splits_hot_ends(spark, monkeypatch):
     assert got.count() == 200 and got.where("va <> 2 * a or vb <> 3 * b").count() == 0
 
 
+def test_unions_are_counted_with_and_without_bitmaps(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 2, 5, 300]), sorted(rng.sample(range(-40, 40), rng.randrange(1, 4)))) for i in range(200)] + [(900, 7, [1 << 62]), (901, 1, [-(1 << 63)])]
+    df = spark.createDataFrame(rows, "id bigint, n bigint, sets array<bigint>").repartition(3)
+    want = {i: sum(n for _, n, other in rows if set(own) & set(other)) for i, _, own in rows}
+    for bitmap_bytes, block_links in ((unions.BITMAP_BYTES, unions.BLOCK_LINKS), (0, 150), (100, 150)):
+        monkeypatch.setattr(unions, "BITMAP_BYTES", bitmap_bytes)
+        assert sorted(map(tuple, unions.union_weights(df, block_links).collect())) == sorted(want.items())
+    assert unions.union_weights(df.limit(0)).count() == 0
+
+
 def test_shared_folder(spark):
     folder = skew.shared_folder(spark)
     assert folder == skew.shared_folder(spark) and skew.scratch(spark, "x").startswith(folder)

@@ -196,6 +196,28 @@ def test_blocking_with_a_full_bitmap_and_a_hot_bucket(spark, monkeypatch):
     assert stars.count() <= 5 * len(rows)
 
 
+def test_covered_links_form_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "_block_pairs", lambda *_: pytest.fail("pairs are formed"))
+    schema = "song_index bigint, normalized_title string, compact_title string, title_tokens array<string>, lyric_lines array<string>, lyric_shingles array<string>"
+    rows = [(i, "hot", "hot", ["hot", None, f"t{i % 13}"], [f"a line of {i % 9}", "oh", f"a line of {i % 9}"], [f"s{i % 70}", f"r{i % 70}", f"own{i}"]) for i in range(300)]
+    rows += [(1000 + i, "twins", None, ["twins"], None, ["s3"]) for i in range(20)] + [(2000, "alone", "", ["alone"], ["oh"], []), (2001, None, None, None, None, None), (2002, "title", "", ["twins"], [], []), (2003, "x", "title", [], [], []), (None, "hot", "hot", [], [], [])]
+    buckets = defaultdict(set)
+    for i, *fields in rows:
+        for kind, values in zip("tckls", ([fields[0]], [fields[1]], *fields[2:]), strict=True):
+            for x in values or []:
+                if i is not None and x and (kind != "l" or len(x) >= 10):
+                    buckets[kind, x].add(i)
+    near = defaultdict(set)
+    for v in buckets.values():
+        for i in v if len(v) > 1 else []:
+            near[i] |= v
+    songs = spark.createDataFrame(rows, schema).repartition(5)
+    for args in ({}, {"block_links": 900}):
+        got = blocking.covered_links(songs, **args)
+        assert sorted(map(tuple, got.collect())) == sorted((i, len(v) - 1) for i, v in near.items())
+    assert dict(got.dtypes) == {"id": "bigint", "links": "bigint"}
+
+
 def test_diff():
     a, b = "Title: A\n[G]one\ntwo\nthree", "Title: B\n[C]one\ntwo\nfour"
     d = diff.align(a, b)
